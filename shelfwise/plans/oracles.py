@@ -88,7 +88,10 @@ FEATURE_NAMES = [
     "Average_Transaction_Value", "Unique_Products_Purchased", "Average_Days_Between_Purchases", "Day_Of_Week",
     "Hour", "Is_UK", "Cancellation_Frequency", "Monthly_Spending_Mean", "Monthly_Spending_Std", "Spending_Trend",
 ]
-FEATURE_LIST = ", ".join(c if c in WHOLE else f"round({c}, 6) as {c}" for c in FEATURE_NAMES)
+SHORT = ["Days_Since_Last_Purchase", "Day_Of_Week", "Hour", "Is_UK"]
+FEATURE_LIST = ", ".join(
+    f"cast({c} as int) as {c}" if c in SHORT else c if c in WHOLE else f"round({c}, 6) as {c}" for c in FEATURE_NAMES
+)
 
 RECOMMEND = FEATURES + """,
 customers as (select f.*, c_mktsegment as cluster from features f join customer on c_custkey = f.CustomerID),
@@ -122,36 +125,37 @@ recommended as (
 REC_LIST = ", ".join(f"Rec{i}_{part}" for i in (1, 2, 3) for part in ("StockCode", "Description"))
 
 LINE_LIST = (
-    "InvoiceNo, StockCode, Description, Quantity, InvoiceDate, cast(UnitPrice as double) as UnitPrice, "
-    "CustomerID, Country"
+    "InvoiceNo, StockCode, Description, Quantity, cast(InvoiceDate as varchar) as InvoiceDate, "
+    "cast(UnitPrice as double) as UnitPrice, CustomerID, Country"
 )
+RAW_LIST = LINE_LIST.replace("CustomerID", "cast(CustomerID as double) as CustomerID")
 STATUS = "case when InvoiceNo like 'C%' then 'Cancelled' else 'Completed' end as Transaction_Status"
 
 ROWS = {
-    "s1_csv_scan": f"select {LINE_LIST} from raw",
+    "s1_csv_scan": f"select {RAW_LIST} from raw",
     "s2_normalize_nulls": (
-        "select InvoiceNo, StockCode, nullif(Description, 'green bolt') as Description, Quantity, InvoiceDate, "
-        "cast(UnitPrice as double) as UnitPrice, CustomerID, nullif(Country, 'NATION_3') as Country from raw"
+        "select InvoiceNo, StockCode, nullif(Description, 'green bolt') as Description, Quantity, cast(InvoiceDate as varchar) as InvoiceDate, "
+        "cast(UnitPrice as double) as UnitPrice, cast(CustomerID as double) as CustomerID, nullif(Country, 'NATION_3') as Country from raw"
     ),
-    "c1_drop_missing": f"select {LINE_LIST} from raw where CustomerID is not null and Description is not null",
+    "c1_drop_missing": f"select {RAW_LIST} from raw where CustomerID is not null and Description is not null",
     "c2_dedupe": (
-        f"select {LINE_LIST} from (select distinct * from raw "
+        f"select {RAW_LIST} from (select distinct * from raw "
         "where CustomerID is not null and Description is not null)"
     ),
-    "c3_status": f"select {LINE_LIST}, {STATUS} from raw",
+    "c3_status": f"select {RAW_LIST}, {STATUS} from raw",
     "c4_anomalous_codes": (
         "select distinct StockCode from raw where length(regexp_replace(StockCode, '[^0-9]', '', 'g')) <= 1"
     ),
     "c5_drop_anomalous": (
-        f"select {LINE_LIST} from raw where length(regexp_replace(StockCode, '[^0-9]', '', 'g')) > 1"
+        f"select {RAW_LIST} from raw where length(regexp_replace(StockCode, '[^0-9]', '', 'g')) > 1"
     ),
     "c6_drop_service": (
-        f"select {LINE_LIST} from raw where CustomerID is not null and Description is not null "
+        f"select {RAW_LIST} from raw where CustomerID is not null and Description is not null "
         "and Description not in ('small ring', 'red widget')"
     ),
-    "c7_upper": f"select {LINE_LIST.replace('Description', 'upper(Description) as Description')} from raw",
-    "c8_positive_price": f"select {LINE_LIST} from raw where UnitPrice > 0",
-    "f1_parse_timestamp": "select InvoiceNo, StockCode, InvoiceDate from raw",
+    "c7_upper": f"select {RAW_LIST.replace('Description', 'upper(Description) as Description')} from raw",
+    "c8_positive_price": f"select {RAW_LIST} from raw where UnitPrice > 0",
+    "f1_parse_timestamp": "select InvoiceNo, StockCode, cast(InvoiceDate as varchar) as InvoiceDate from raw",
 }
 
 LINES = {
@@ -162,7 +166,7 @@ LINES = {
     "c10_clean": f"select {LINE_LIST}, Transaction_Status from lines",
     "t5_stock_codes": "select distinct StockCode from present",
     "f_line_columns": (
-        "select InvoiceNo, StockCode, cast(CustomerID as double) as CustomerID, InvoiceDay, Spend as Total_Spend, "
+        "select InvoiceNo, StockCode, cast(CustomerID as double) as CustomerID, cast(InvoiceDay as varchar) as InvoiceDay, Spend as Total_Spend, "
         "cast(isodow(InvoiceDate) - 1 as int) as Day_Of_Week, cast(hour(InvoiceDate) as int) as Hour, "
         "cast(year(InvoiceDate) as int) as Year, cast(month(InvoiceDate) as int) as Month, "
         "cast(datediff('day', InvoiceDay, date '1999-01-01') as int) as Days_Before_1999, "
@@ -170,7 +174,7 @@ LINES = {
         "case when Country = 'NATION_0' then 1 else 0 end as Is_Home, "
         "case when InvoiceNo like 'C%' then 1 else 0 end as Is_Cancelled from lines"
     ),
-    "a1_last_day": "select CustomerID, max(InvoiceDay) as InvoiceDay from lines group by CustomerID",
+    "a1_last_day": "select CustomerID, cast(max(InvoiceDay) as varchar) as InvoiceDay from lines group by CustomerID",
     "a2_recency": (
         "select CustomerID, cast(datediff('day', max(InvoiceDay), (select max(InvoiceDay) from lines)) as int) "
         "as Days_Since_Last_Purchase from lines group by CustomerID"
@@ -215,7 +219,7 @@ LINES = {
         f"select {LINE_LIST}, Transaction_Status, c_mktsegment as cluster from lines "
         "join customer on c_custkey = CustomerID"
     ),
-    "j8_global_last_day": "select max(InvoiceDay) as Most_Recent_Day from lines",
+    "j8_global_last_day": "select cast(max(InvoiceDay) as varchar) as Most_Recent_Day from lines",
 }
 
 CUT = "(select quantile_cont(Total_Spend, 0.95) from features)"
@@ -271,7 +275,7 @@ FEATURE_QUERIES = {
         "join customer on c_custkey = CustomerID"
     ),
     "m2_split": (
-        f"select CustomerID, round(Total_Spend, 6) as Total_Spend, round(Total_Spend, 6) as score, "
+        f"select CustomerID, round(Total_Spend, 6) as Total_Spend, "
         f"case when Total_Spend > {CUT} then 'outlier' else 'inlier' end as Part from features"
     ),
     "m2_flags": (
@@ -283,7 +287,7 @@ FEATURE_QUERIES = {
         "count(*) as customers from features"
     ),
     "m5_scale": (
-        f"select CustomerID, Is_UK, Day_Of_Week, {', '.join(f'round({c}, 6) as {c}' for c in SCALED)} from scaled"
+        f"select CustomerID, Is_UK, cast(Day_Of_Week as int) as Day_Of_Week, {', '.join(f'round({c}, 6) as {c}' for c in SCALED)} from scaled"
     ),
     "m6b_covariance": " union all ".join(
         f"select '{a}' as first, '{b}' as second, "

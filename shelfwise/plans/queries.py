@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from shelfwise.functions import columns as X
 from shelfwise.operators import cleaning, clusters, features, outliers, recommend, reduction, scaling
 from shelfwise.plans import segmentation
-from shelfwise.session import cut_lineage, new_path
+from shelfwise.session import cut_lineage, new_path, store
 from shelfwise.sources import transactions as io
 from shelfwise.sources.retail_view import VIEW_SETTINGS, market_segments, retail_lines
 
@@ -33,12 +33,14 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles and decimals as rounded doubles, the rest as it is."""
+def plain(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles and decimals as rounded doubles, dates and times as text."""
 
     def one(field: T.StructField) -> Column:
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             return F.round(F.col(field.name).cast("double"), digits).alias(field.name)
+        if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.col(field.name).cast("string").alias(field.name)
         return F.col(field.name)
 
     return df.select(*[one(field) for field in df.schema])
@@ -52,9 +54,12 @@ def customer_table(spark: SparkSession, folder: str) -> DataFrame:
     return features.customer_features(cleaned(spark, folder), VIEW_SETTINGS)
 
 
-def segmented(spark: SparkSession, folder: str) -> DataFrame:
-    """Features with the market segment as the cluster."""
-    return customer_table(spark, folder).join(market_segments(spark, folder), "CustomerID")
+def shop(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned lines, and features with the market segment as the cluster,
+    both stored because the recommender reads them more than once."""
+    lines = store(cleaned(spark, folder), "lines")
+    customers = features.customer_features(lines, VIEW_SETTINGS)
+    return lines, cut_lineage(customers.join(market_segments(spark, folder), "CustomerID"))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,6 +73,11 @@ def by_remainder(spark: SparkSession, folder: str) -> DataFrame:
     return customer_table(spark, folder).withColumn("cluster", F.lit(2) - remainder)
 
 
+def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Uncleaned lines; the customer is a double, as in a file with gaps."""
+    return retail_lines(spark, folder).withColumn("CustomerID", F.col("CustomerID").cast("double"))
+
+
 def numbers(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in features.FEATURES]
 
@@ -78,20 +88,20 @@ def numbers(df: DataFrame) -> list[str]:
 @query("s1_csv_scan")
 def _(spark, folder):
     path = new_path(spark, "lines")
-    text = retail_lines(spark, folder).withColumn("InvoiceDate", F.date_format("InvoiceDate", io.DATE_PATTERN))
+    text = raw_lines(spark, folder).withColumn("InvoiceDate", F.date_format("InvoiceDate", io.DATE_PATTERN))
     text.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
-    return rounded(io.read_transactions(spark, path).withColumn("CustomerID", F.col("CustomerID").cast("long")))
+    return plain(io.read_transactions(spark, path))
 
 
 @query("s2_normalize_nulls")
 def _(spark, folder):
-    return rounded(io.normalize_nulls(retail_lines(spark, folder), MARKERS))
+    return plain(io.normalize_nulls(raw_lines(spark, folder), MARKERS))
 
 
 @query("s3_csv_sink")
 def _(spark, folder):
     path = new_path(spark, "recommendations")
-    result = recommend.recommend(cleaned(spark, folder), segmented(spark, folder))
+    result = recommend.recommend(*shop(spark, folder))
     io.write_recommendations(result, path)
     schema = T.StructType(
         [
@@ -99,17 +109,17 @@ def _(spark, folder):
             for f in result.schema
         ]
     )
-    return rounded(spark.read.schema(schema).option("header", True).option("escape", '"').csv(path))
+    return plain(spark.read.schema(schema).option("header", True).option("escape", '"').csv(path))
 
 
 @query("s4_preview")
 def _(spark, folder):
-    return rounded(io.preview(recommend.recommend(cleaned(spark, folder), segmented(spark, folder))))
+    return plain(io.preview(recommend.recommend(*shop(spark, folder))))
 
 
 @query("s5_sample_rows")
 def _(spark, folder):
-    return io.sample_rows(recommend.recommend(cleaned(spark, folder), segmented(spark, folder)))
+    return io.sample_rows(recommend.recommend(*shop(spark, folder)))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -117,59 +127,59 @@ def _(spark, folder):
 
 @query("c1_drop_missing")
 def _(spark, folder):
-    return rounded(cleaning.drop_missing(retail_lines(spark, folder)))
+    return plain(cleaning.drop_missing(raw_lines(spark, folder)))
 
 
 @query("c2_dedupe")
 def _(spark, folder):
-    return rounded(cleaning.dedupe(cleaning.drop_missing(retail_lines(spark, folder))))
+    return plain(cleaning.dedupe(cleaning.drop_missing(raw_lines(spark, folder))))
 
 
 @query("c3_status")
 def _(spark, folder):
-    return rounded(cleaning.with_status(retail_lines(spark, folder)))
+    return plain(cleaning.with_status(raw_lines(spark, folder)))
 
 
 @query("c4_anomalous_codes")
 def _(spark, folder):
-    return cleaning.anomalous_stock_codes(retail_lines(spark, folder))
+    return cleaning.anomalous_stock_codes(raw_lines(spark, folder))
 
 
 @query("c5_drop_anomalous")
 def _(spark, folder):
-    return rounded(cleaning.drop_anomalous(retail_lines(spark, folder)))
+    return plain(cleaning.drop_anomalous(raw_lines(spark, folder)))
 
 
 @query("c6_drop_service")
 def _(spark, folder):
-    lines = cleaning.drop_missing(retail_lines(spark, folder))
-    return rounded(cleaning.drop_service_lines(lines, VIEW_SETTINGS.service_names))
+    lines = cleaning.drop_missing(raw_lines(spark, folder))
+    return plain(cleaning.drop_service_lines(lines, VIEW_SETTINGS.service_names))
 
 
 @query("c7_upper")
 def _(spark, folder):
-    return rounded(cleaning.upper_description(retail_lines(spark, folder)))
+    return plain(cleaning.upper_description(raw_lines(spark, folder)))
 
 
 @query("c8_positive_price")
 def _(spark, folder):
-    return rounded(cleaning.positive_price(retail_lines(spark, folder)))
+    return plain(cleaning.positive_price(raw_lines(spark, folder)))
 
 
 @query("c9_service_pct")
 def _(spark, folder):
-    lines = cleaning.dedupe(cleaning.drop_missing(retail_lines(spark, folder)))
-    return rounded(cleaning.service_line_pct(cleaning.drop_anomalous(lines), VIEW_SETTINGS.service_names))
+    lines = cleaning.dedupe(cleaning.drop_missing(raw_lines(spark, folder)))
+    return plain(cleaning.service_line_pct(cleaning.drop_anomalous(lines), VIEW_SETTINGS.service_names))
 
 
 @query("c10_clean")
 def _(spark, folder):
-    return rounded(cleaned(spark, folder))
+    return plain(cleaned(spark, folder))
 
 
 @query("t5_stock_codes")
 def _(spark, folder):
-    return cleaning.stock_codes(cleaning.drop_missing(retail_lines(spark, folder)))
+    return cleaning.stock_codes(cleaning.drop_missing(raw_lines(spark, folder)))
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -178,15 +188,15 @@ def _(spark, folder):
 @query("f1_parse_timestamp")
 def _(spark, folder):
     text = F.date_format("InvoiceDate", io.DATE_PATTERN)
-    lines = retail_lines(spark, folder).select("InvoiceNo", "StockCode", text.alias("text"))
-    parsed = X.parse_timestamp("text", io.DATE_PATTERN).cast("timestamp_ntz")
-    return lines.select("InvoiceNo", "StockCode", parsed.alias("InvoiceDate"))
+    lines = raw_lines(spark, folder).select("InvoiceNo", "StockCode", text.alias("text"))
+    parsed = X.parse_timestamp("text", io.DATE_PATTERN)
+    return plain(lines.select("InvoiceNo", "StockCode", parsed.alias("InvoiceDate")))
 
 
 @query("f_line_columns")
 def _(spark, folder):
     lines = features.with_line_columns(cleaned(spark, folder))
-    return rounded(
+    return plain(
         lines.select(
             "InvoiceNo",
             "StockCode",
@@ -229,7 +239,7 @@ for _name, _feature in {
     "j2_multi_line_customers": features.multi_line_customers,
     "j8_global_last_day": features.global_last_day,
 }.items():
-    QUERIES[_name] = lambda spark, folder, feature=_feature: rounded(feature(cleaned(spark, folder)))
+    QUERIES[_name] = lambda spark, folder, feature=_feature: plain(feature(cleaned(spark, folder)))
 
 
 @query("a12_home_country")
@@ -246,7 +256,7 @@ def _(spark, folder):
 
 @query("a17_features")
 def _(spark, folder):
-    return rounded(customer_table(spark, folder))
+    return plain(customer_table(spark, folder))
 
 
 @query("a17_features_with_rate")
@@ -254,7 +264,7 @@ def _(spark, folder):
     from dataclasses import replace
 
     settings = replace(VIEW_SETTINGS, with_rate=True)
-    return rounded(features.customer_features(cleaned(spark, folder), settings))
+    return plain(features.customer_features(cleaned(spark, folder), settings))
 
 
 # ---------------------------------------------------------------- joins
@@ -266,18 +276,18 @@ def _(spark, folder):
     spend = cut_lineage(table.select("CustomerID", "score"))
     marked = outliers.flag_outliers(spend, outliers.contamination_threshold(spend))
     _, outside = outliers.split_outliers(marked)
-    return rounded(recommend.drop_outlier_lines(cleaned(spark, folder), outside))
+    return plain(recommend.drop_outlier_lines(cleaned(spark, folder), outside))
 
 
 @query("j5_lines_with_cluster")
 def _(spark, folder):
-    return rounded(recommend.lines_with_cluster(cleaned(spark, folder), market_segments(spark, folder)))
+    return plain(recommend.lines_with_cluster(cleaned(spark, folder), market_segments(spark, folder)))
 
 
 @query("m9_append_cluster")
 def _(spark, folder):
     table = customer_table(spark, folder)
-    return rounded(clusters.append_cluster(table, market_segments(spark, folder)))
+    return plain(clusters.append_cluster(table, market_segments(spark, folder)))
 
 
 # ---------------------------------------------------------------- models
@@ -285,7 +295,7 @@ def _(spark, folder):
 
 @query("m1_isolation_forest")
 def _(spark, folder):
-    return rounded(segmentation.find_outliers(cut_lineage(customer_table(spark, folder)), VIEW_SETTINGS))
+    return plain(segmentation.find_outliers(cut_lineage(customer_table(spark, folder)), VIEW_SETTINGS))
 
 
 @query("m2_split")
@@ -293,7 +303,7 @@ def _(spark, folder):
     table = cut_lineage(scored(spark, folder).select("CustomerID", "Total_Spend", "score"))
     marked = outliers.flag_outliers(table, outliers.contamination_threshold(table))
     inside, outside = outliers.split_outliers(marked)
-    return rounded(
+    return plain(
         inside.withColumn("Part", F.lit("inlier")).unionByName(
             outside.drop("Outlier_Scores", "Is_Outlier").withColumn("Part", F.lit("outlier"))
         )
@@ -315,24 +325,24 @@ def _(spark, folder):
         F.count_if(F.col("score") > threshold).alias("outliers"),
         F.count(F.lit(1)).alias("customers"),
     )
-    return rounded(above)
+    return plain(above)
 
 
 @query("m5_scale")
 def _(spark, folder):
-    return rounded(scaling.standardize(customer_table(spark, folder)))
+    return plain(scaling.standardize(customer_table(spark, folder)))
 
 
 @query("m6_pca")
 def _(spark, folder):
     scaled = cut_lineage(scaling.standardize(customer_table(spark, folder)))
-    return rounded(reduction.fit_components(scaled, numbers(scaled)).transform(scaled))
+    return plain(reduction.fit_components(scaled, numbers(scaled)).transform(scaled))
 
 
 @query("m6b_covariance")
 def _(spark, folder):
     table = customer_table(spark, folder)
-    return rounded(reduction.covariance(scaling.standardize(table), numbers(table)))
+    return plain(reduction.covariance(scaling.standardize(table), numbers(table)))
 
 
 @query("m6c_explained_variance")
@@ -340,7 +350,7 @@ def _(spark, folder):
     scaled = cut_lineage(scaling.standardize(customer_table(spark, folder)))
     shares = reduction.explained_variance(scaled, numbers(scaled))
     rows = [(i, float(share)) for i, share in enumerate(shares, start=1)]
-    return rounded(spark.createDataFrame(rows, "component int, share double"))
+    return plain(spark.createDataFrame(rows, "component int, share double"))
 
 
 @query("m7_kmeans")
@@ -349,7 +359,7 @@ def _(spark, folder):
     reduced = reduction.fit_components(scaled, numbers(scaled)).transform(scaled)
     axes = [c for c in reduced.columns if c != "CustomerID"]
     centroids, _ = clusters.fit_centroids(reduced, axes)
-    return rounded(clusters.relabel(clusters.assign(reduced, axes, centroids)))
+    return plain(clusters.relabel(clusters.assign(reduced, axes, centroids)))
 
 
 @query("m7b_assign")
@@ -378,14 +388,14 @@ def _(spark, folder):
 @query("m10_quality")
 def _(spark, folder):
     table = cut_lineage(by_remainder(spark, folder).select("CustomerID", "cluster", *CENTROID_COLUMNS))
-    return rounded(clusters.cluster_quality(table, CENTROID_COLUMNS))
+    return plain(clusters.cluster_quality(table, CENTROID_COLUMNS))
 
 
 @query("m10_silhouette")
 def _(spark, folder):
     table = cut_lineage(by_remainder(spark, folder).select("CustomerID", "cluster", *CENTROID_COLUMNS))
     value = clusters.silhouette(table, CENTROID_COLUMNS)
-    return rounded(spark.createDataFrame([(value,)], "silhouette double"))
+    return plain(spark.createDataFrame([(value,)], "silhouette double"))
 
 
 @query("m10_elbow")
@@ -393,7 +403,7 @@ def _(spark, folder):
     scaled = cut_lineage(scaling.standardize(customer_table(spark, folder)))
     reduced = cut_lineage(reduction.fit_components(scaled, numbers(scaled)).transform(scaled))
     axes = [c for c in reduced.columns if c != "CustomerID"]
-    return rounded(spark.createDataFrame(clusters.cost_by_k(reduced, axes, range(2, 6)), "k int, cost double"))
+    return plain(spark.createDataFrame(clusters.cost_by_k(reduced, axes, range(2, 6)), "k int, cost double"))
 
 
 # ---------------------------------------------------------------- recommendations
@@ -401,40 +411,40 @@ def _(spark, folder):
 
 @query("rec1_best_sellers")
 def _(spark, folder):
-    return recommend.best_sellers(cleaned(spark, folder), segmented(spark, folder))
+    return recommend.best_sellers(*shop(spark, folder))
 
 
 @query("rec2_top10")
 def _(spark, folder):
-    return recommend.top_products(recommend.best_sellers(cleaned(spark, folder), segmented(spark, folder)))
+    return recommend.top_products(recommend.best_sellers(*shop(spark, folder)))
 
 
 @query("rec3_purchases")
 def _(spark, folder):
-    return recommend.purchases(cleaned(spark, folder), segmented(spark, folder))
+    return recommend.purchases(*shop(spark, folder))
 
 
 @query("rec4_candidates")
 def _(spark, folder):
-    return recommend.candidates(cleaned(spark, folder), segmented(spark, folder))
+    return recommend.candidates(*shop(spark, folder))
 
 
 @query("rec5_wide")
 def _(spark, folder):
-    customers = segmented(spark, folder).select("CustomerID", "cluster")
-    return recommend.recommend(cleaned(spark, folder), customers)
+    lines, customers = shop(spark, folder)
+    return recommend.recommend(lines, customers.select("CustomerID", "cluster"))
 
 
 @query("rec6_recommend")
 def _(spark, folder):
-    return rounded(recommend.recommend(cleaned(spark, folder), segmented(spark, folder)))
+    return plain(recommend.recommend(*shop(spark, folder)))
 
 
 @query("segment_customers")
 def _(spark, folder):
-    return rounded(segmentation.segment(retail_lines(spark, folder), VIEW_SETTINGS).customers)
+    return plain(segmentation.segment(retail_lines(spark, folder), VIEW_SETTINGS).customers)
 
 
 @query("segment_and_recommend")
 def _(spark, folder):
-    return rounded(segmentation.run(retail_lines(spark, folder), VIEW_SETTINGS))
+    return plain(segmentation.run(retail_lines(spark, folder), VIEW_SETTINGS))

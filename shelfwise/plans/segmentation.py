@@ -19,7 +19,7 @@ from shelfwise.operators.outliers import (
 from shelfwise.operators.recommend import recommend
 from shelfwise.operators.reduction import fit_components
 from shelfwise.operators.scaling import columns_to_scale, standardize
-from shelfwise.session import cut_lineage
+from shelfwise.session import cut_lineage, store
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,13 @@ def find_outliers(features: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def segment(lines: DataFrame, settings: Settings = Settings()) -> Segmentation:
-    """Clean lines, derive features, set outliers apart and cluster the rest."""
+    """Clean lines, derive features, set outliers apart and cluster the rest.
+
+    The cleaned lines are read several times, here and by the recommender, so
+    they are stored: the source is parsed and its copies dropped only once.
+    """
     columns = feature_columns(settings.with_rate)
-    cleaned = clean(lines, settings)
+    cleaned = store(clean(lines, settings), "lines")
     features = cut_lineage(customer_features(cleaned, settings))
     inliers, outliers = split_outliers(find_outliers(features, settings))
     scaled = standardize(inliers, columns_to_scale(inliers))

@@ -53,3 +53,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     a re-read instead of all the work before it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a line-grain result as a columnar table in the shared folder, for
+    steps that each read a few of its columns."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
