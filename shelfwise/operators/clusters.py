@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from shelfwise.functions.columns import squared_distance
 
 KEY = "CustomerID"
-FITS_AT_A_TIME = 5
+FITS_AT_A_TIME = 10
+ROWS_PER_TASK = 50_000  # fewer are not worth a task in every iteration
+TOLERANCE = 1e-4  # of the mean variance, for the squared move of all centroids
 
 
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,14 +38,18 @@ def fit_centroids(
     cost of every start. The fits share one persisted input and run side by
     side, so that the last tasks of one overlap with the next."""
     spark = points.sparkSession
-    vectors = _vectors(points, columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        vectors.count()
+    count, *variances = points.agg(F.count(F.lit(1)), *[F.var_pop(c) for c in columns]).first()
+    # each centroid may move by its part of the whole tolerance
+    tolerance = math.sqrt(TOLERANCE * sum(variances) / len(variances) / k)
+    vectors = _vectors(points, columns).select("features").coalesce(max(1, count // ROWS_PER_TASK))
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
-        def fit(start: int):
-            model = KMeans(k=k, initMode="k-means||", maxIter=max_iterations, seed=seed + start).fit(vectors)
-            return model.summary.trainingCost, [c.tolist() for c in model.clusterCenters()]
+    def fit(start: int) -> tuple[float, list[list[float]]]:
+        model = KMeans(k=k, maxIter=max_iterations, tol=tolerance, seed=seed + start).fit(vectors)
+        return model.summary.trainingCost, [c.tolist() for c in model.clusterCenters()]
 
+    try:
+        vectors.count()
         with ThreadPoolExecutor(FITS_AT_A_TIME) as pool:
             fits = list(pool.map(inheritable_thread_target(spark)(fit), range(starts)))
     finally:
