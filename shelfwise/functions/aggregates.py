@@ -8,25 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def most_frequent(key: str, count: str, condition: Column | None = None) -> Column:
-    """Aggregate: the key with the greatest count, the smallest key on a tie.
+def most_frequent_number(key: str, count: str, span: int, condition: Column) -> Column:
+    """Aggregate: the key in 0..span-1 with the greatest count, the smallest
+    key on a tie. Count and key share one number, which a hash aggregate can
+    update in place."""
+    best = F.max(F.when(condition, F.col(count) * span - F.col(key)))
+    return F.pmod(-best, F.lit(span)).cast("int")
 
-    Null keys do not take part.
-    """
-    takes_part = F.col(key).isNotNull()
-    if condition is not None:
-        takes_part = condition & takes_part
-    return F.min(F.when(takes_part, F.struct((-F.col(count)).alias("n"), F.col(key).alias("key"))))["key"]
+
+def is_most_frequent(key: str, value: str, count: str, condition: Column) -> Column:
+    """Aggregate: whether `value` is the key with the greatest count, the first
+    key in order winning a tie; null without any key."""
+    of = [
+        F.max(F.when(condition & which, F.col(count)))
+        for which in (F.col(key) < value, F.col(key) == value, F.col(key) > value)
+    ]
+    before, own, after = [F.coalesce(n, F.lit(0)) for n in of]
+    return F.when(F.greatest(*of).isNotNull(), (own > before) & (own >= after))
 
 
 def mode_by(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The commonest value for each key, counted in rows.
+    """The commonest value for each key, counted in rows; the smallest value on
+    a tie. Null values do not count.
 
     The counting aggregates on the map side by (key, value), so a key that
     holds most rows reaches its final task as one row per distinct value.
     """
-    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.groupBy(key).agg(most_frequent(value, "rows").alias(value)).where(F.col(value).isNotNull())
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg((-F.count(F.lit(1))).alias("rows"))
+    return counts.groupBy(key).agg(F.min(F.struct("rows", value))[value].alias(value))
 
 
 def nth_smallest(values: DataFrame, rank: int, keep: int) -> float:

@@ -21,6 +21,12 @@ def digit_count(code: str) -> Column:
     return F.regexp_count(F.col(code), F.lit(DIGIT))
 
 
+def has_more_digits(code: str, count: int) -> Column:
+    """Plain digits are counted without a pattern, which settles nearly all codes."""
+    rest = F.translate(code, "0123456789", "")
+    return (F.length(code) - F.length(rest) > count) | (digit_count(code) > count)
+
+
 def transaction_status(invoice: str = "InvoiceNo") -> Column:
     return F.when(F.col(invoice).startswith("C"), "Cancelled").otherwise("Completed")
 

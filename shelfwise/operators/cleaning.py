@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.config import SERVICE_NAMES, Settings
-from shelfwise.functions.columns import digit_count, is_positive, transaction_status
+from shelfwise.functions.columns import has_more_digits, is_positive, transaction_status
 
 
 def drop_missing(df: DataFrame, columns: Iterable[str] = ("CustomerID", "Description")) -> DataFrame:
@@ -31,12 +31,13 @@ def stock_codes(df: DataFrame) -> DataFrame:
 
 
 def anomalous_stock_codes(df: DataFrame, max_digits: int = 1) -> DataFrame:
-    return stock_codes(df).where(F.coalesce(digit_count("StockCode"), F.lit(0)) <= max_digits)
+    """A missing code counts as one without digits."""
+    return stock_codes(df).where(~F.coalesce(has_more_digits("StockCode", max_digits), F.lit(False)))
 
 
 def drop_anomalous(df: DataFrame, max_digits: int = 1) -> DataFrame:
     """A predicate on each row, so no list of codes is needed; null codes go too."""
-    return df.where(digit_count("StockCode") > max_digits)
+    return df.where(has_more_digits("StockCode", max_digits))
 
 
 def drop_service_lines(df: DataFrame, names: Iterable[str] = SERVICE_NAMES) -> DataFrame:

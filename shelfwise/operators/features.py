@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import Settings
-from shelfwise.functions.aggregates import mode_by, most_frequent
+from shelfwise.functions.aggregates import is_most_frequent, mode_by, most_frequent_number
 from shelfwise.functions.columns import (
     flag,
     is_cancelled,
@@ -270,9 +270,9 @@ def customer_features(lines: DataFrame, settings: Settings = Settings()) -> Data
         F.count_if(has_invoice & is_cancelled()).alias("Cancellation_Frequency"),
         zero_if_null(F.sum(F.when(by_invoice, F.col("quantity")))).alias("Total_Products_Purchased"),
         zero_if_null(F.sum(F.when(by_invoice, F.col("spend"))).cast("double")).alias("Total_Spend"),
-        most_frequent("weekday", "lines", F.col("by_weekday")).alias("Day_Of_Week"),
-        most_frequent("hour", "lines", F.col("by_hour")).alias("Hour"),
-        most_frequent("Country", "lines", F.col("by_Country")).alias("Country"),
+        most_frequent_number("weekday", "lines", 7, F.col("by_weekday")).alias("Day_Of_Week"),
+        most_frequent_number("hour", "lines", 24, F.col("by_hour")).alias("Hour"),
+        flag(is_most_frequent("Country", settings.home_country, "lines", F.col("by_Country"))).alias("Is_UK"),
         F.avg(month_spend).alias("Monthly_Spending_Mean"),
         zero_if_null(F.stddev_samp(month_spend)).alias("Monthly_Spending_Std"),
         # one entry per calendar month at most
@@ -283,7 +283,6 @@ def customer_features(lines: DataFrame, settings: Settings = Settings()) -> Data
         "Days_Since_Last_Purchase": F.datediff("Most_Recent_Day", "last_day"),
         "Average_Transaction_Value": ratio("Total_Spend", "Total_Transactions"),
         "Average_Days_Between_Purchases": ratio(days, F.col("lines") - 1),
-        "Is_UK": flag(F.col("Country") == settings.home_country),
         "Cancellation_Rate": ratio("Cancellation_Frequency", "Total_Transactions"),
         "Spending_Trend": trend(F.array_sort("months")),
     }

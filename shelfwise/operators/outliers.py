@@ -92,6 +92,8 @@ def sample_for_trees(df: DataFrame, columns: list[str], trees: int, rows: int, s
     admitted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: rank(tree) < int(wanted * width))
     numbers = [c.alias(name) for c, name in zip(_numbers(columns), columns, strict=True)]
     drawn = df.select(KEY, *numbers, F.explode(admitted).alias("tree")).withColumn("rank", rank(F.col("tree")))
+    # few rows but costly trees: a fixed number of tasks, which is not merged for being small
+    drawn = drawn.repartition(min(trees, df.sparkSession.sparkContext.defaultParallelism), "tree")
     by_tree = Window.partitionBy("tree").orderBy("rank", KEY)
     return drawn.withColumn("place", F.row_number().over(by_tree)).where(F.col("place") <= rows).drop("place", "rank")
 
@@ -153,7 +155,7 @@ def grow_tree(rows: np.ndarray, random: np.random.Generator) -> dict[str, list]:
         varying = np.flatnonzero(high > low)
         if not len(varying):
             return node
-        feature = int(random.choice(varying))
+        feature = int(varying[random.integers(len(varying))])
         threshold = float(random.uniform(low[feature], high[feature]))
         below = members[:, feature] <= threshold
         nodes["feature"][node], nodes["threshold"][node] = feature, threshold

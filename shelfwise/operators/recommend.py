@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "CustomerID"
 
-# A top list has a few rows for each cluster. Up to this many clusters its
-# size is proven small and it is broadcast; beyond, it is joined by shuffle.
+# What is joined to the lines is broadcast up to these sizes, which are counted
+# first; beyond them the joins shuffle. A cluster stands for one top list, and
+# a customer for one pair of customer and cluster.
 MAX_BROADCAST_CLUSTERS = 10_000
+MAX_BROADCAST_CUSTOMERS = 2_000_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    customers: int
+    clusters: int
+
+    @classmethod
+    def of(cls, customers: DataFrame) -> Sizes:
+        return cls(*customers.agg(F.count(F.lit(1)), F.count_distinct("cluster")).first())
+
+    def small_customers(self) -> bool:
+        return self.customers <= MAX_BROADCAST_CUSTOMERS
+
+    def cluster_side(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.clusters <= MAX_BROADCAST_CLUSTERS else df
 
 
 def drop_outlier_lines(lines: DataFrame, outliers: DataFrame) -> DataFrame:
@@ -28,12 +48,20 @@ def customer_products(lines: DataFrame) -> DataFrame:
     return lines.groupBy(KEY, "StockCode", "Description").agg(F.sum("Quantity").alias("Quantity"))
 
 
-def best_sellers(lines: DataFrame, customers: DataFrame) -> DataFrame:
-    return (
-        lines_with_cluster(customer_products(lines), customers)
-        .groupBy("cluster", "StockCode", "Description")
-        .agg(F.sum("Quantity").alias("Quantity"))
-    )
+def best_sellers(lines: DataFrame, customers: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+    """Net quantity of each product in each cluster.
+
+    With few customers, their clusters are broadcast and the lines are summed
+    up where they are. With many, the lines are first summed up by customer and
+    product, so that the join by customer meets no hot customer.
+    """
+    sizes = sizes or Sizes.of(customers)
+    clusters = customers.select(KEY, "cluster")
+    if sizes.small_customers():
+        sold = lines.join(F.broadcast(clusters), KEY)
+    else:
+        sold = customer_products(lines).join(clusters, KEY)
+    return sold.groupBy("cluster", "StockCode", "Description").agg(F.sum("Quantity").alias("Quantity"))
 
 
 def top_products(sellers: DataFrame, n: int = 10) -> DataFrame:
@@ -55,24 +83,24 @@ def top_lists(top: DataFrame) -> DataFrame:
     return top.groupBy("cluster").agg(F.array_sort(F.collect_list(product)).alias("top"))
 
 
-def not_bought(lines: DataFrame, customers: DataFrame, lists: DataFrame) -> DataFrame:
+def not_bought(lines: DataFrame, customers: DataFrame, lists: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Each customer with the top products of the cluster they have not bought.
 
     Only purchases of top products matter, and those are few: the lines are
     cut down to them by a broadcast semi join before anything is shuffled.
     """
-    small = _broadcast_clusters(customers)
+    sizes = sizes or Sizes.of(customers)
     codes = lists.select(F.explode("top.StockCode").alias("StockCode")).distinct()
     bought = (
         lines.select(KEY, "StockCode")
-        .join(small(codes), "StockCode", "left_semi")
+        .join(sizes.cluster_side(codes), "StockCode", "left_semi")
         .groupBy(KEY)
         .agg(F.collect_set("StockCode").alias("bought"))
     )
     has = F.coalesce(F.col("bought"), F.array().cast("array<string>"))
     return (
         customers.join(bought, KEY, "left")
-        .join(small(lists), "cluster")
+        .join(sizes.cluster_side(lists), "cluster")
         .withColumn("options", F.filter("top", lambda p: ~F.array_contains(has, p["StockCode"])))
         .drop("bought", "top")
     )
@@ -80,9 +108,10 @@ def not_bought(lines: DataFrame, customers: DataFrame, lists: DataFrame) -> Data
 
 def candidates(lines: DataFrame, customers: DataFrame, top_n: int = 10, k: int = 3) -> DataFrame:
     """The first k products not bought, one row each."""
-    lists = top_lists(top_products(best_sellers(lines, customers), top_n))
+    sizes = Sizes.of(customers)
+    lists = top_lists(top_products(best_sellers(lines, customers, sizes), top_n))
     return (
-        not_bought(lines, customers.select(KEY, "cluster"), lists)
+        not_bought(lines, customers.select(KEY, "cluster"), lists, sizes)
         .select(KEY, "cluster", F.posexplode(F.slice("options", 1, k)).alias("position", "product"))
         .select(
             KEY,
@@ -109,8 +138,9 @@ def recommend(
     """
     if outliers is not None:
         customers = customers.join(outliers.select(KEY), KEY, "left_anti")
-    lists = top_lists(top_products(best_sellers(lines, customers), top_n))
-    return wide(not_bought(lines, customers, lists), k)
+    sizes = Sizes.of(customers)
+    lists = top_lists(top_products(best_sellers(lines, customers, sizes), top_n))
+    return wide(not_bought(lines, customers, lists, sizes), k)
 
 
 def wide(options: DataFrame, k: int = 3) -> DataFrame:
@@ -122,10 +152,3 @@ def wide(options: DataFrame, k: int = 3) -> DataFrame:
         slots.append(product["Description"].alias(f"Rec{i}_Description"))
     kept = [c for c in options.columns if c not in ("options", "cluster")]
     return options.select(*kept, "cluster", *slots)
-
-
-def _broadcast_clusters(customers: DataFrame):
-    """Broadcast per-cluster tables if the clusters are proven to be few."""
-    limit = MAX_BROADCAST_CLUSTERS
-    found = customers.select("cluster").distinct().limit(limit + 1).count()
-    return F.broadcast if found <= limit else (lambda df: df)

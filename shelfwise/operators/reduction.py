@@ -52,15 +52,16 @@ def explained_variance(df: DataFrame, columns: list[str]) -> list[float]:
 
 
 def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Population covariance of each pair of columns, one row per pair, from
-    one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.covar_pop(_number(a), _number(b)).alias(f"{a}*{b}") for a, b in pairs])
-    entries = [
-        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"{a}*{b}").alias("covariance"))
-        for a, b in pairs
-    ]
-    return row.select(F.inline(F.array(*entries)))
+    """Population covariance of each pair of columns, one row per pair. The
+    pairs are summed up on the map side, so only their few rows are shuffled."""
+    names = F.array(*[F.lit(c) for c in columns])
+    rows = df.select(F.array(*[_number(c) for c in columns]).alias("row"))
+    first = rows.select("row", F.posexplode("row").alias("i", "x"))
+    pairs = first.select("i", "x", F.posexplode(F.slice("row", F.col("i") + 1, len(columns))).alias("k", "y"))
+    sums = pairs.groupBy("i", "k").agg(F.covar_pop("x", "y").alias("covariance"))
+    return sums.select(
+        names[F.col("i")].alias("first"), names[F.col("i") + F.col("k")].alias("second"), "covariance"
+    )
 
 
 def _number(c: str) -> Column:

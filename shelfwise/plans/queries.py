@@ -62,15 +62,20 @@ def shop(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return lines, cut_lineage(customers.join(market_segments(spark, folder), "CustomerID"))
 
 
+def stored_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Features for the models, which read them several times."""
+    return cut_lineage(customer_table(spark, folder))
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Features with the spend as a given score."""
-    return customer_table(spark, folder).withColumn("score", F.col("Total_Spend"))
+    return stored_customers(spark, folder).withColumn("score", F.col("Total_Spend"))
 
 
 def by_remainder(spark: SparkSession, folder: str) -> DataFrame:
     """Features with a fixed numbered cluster, of sizes that differ."""
     remainder = F.least(F.col("CustomerID") % 7, F.lit(2)).cast("int")
-    return customer_table(spark, folder).withColumn("cluster", F.lit(2) - remainder)
+    return stored_customers(spark, folder).withColumn("cluster", F.lit(2) - remainder)
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,8 +277,7 @@ def _(spark, folder):
 
 @query("j4_drop_outlier_lines")
 def _(spark, folder):
-    table = scored(spark, folder)
-    spend = cut_lineage(table.select("CustomerID", "score"))
+    spend = scored(spark, folder).select("CustomerID", "score")
     marked = outliers.flag_outliers(spend, outliers.contamination_threshold(spend))
     _, outside = outliers.split_outliers(marked)
     return plain(recommend.drop_outlier_lines(cleaned(spark, folder), outside))
@@ -295,12 +299,12 @@ def _(spark, folder):
 
 @query("m1_isolation_forest")
 def _(spark, folder):
-    return plain(segmentation.find_outliers(cut_lineage(customer_table(spark, folder)), VIEW_SETTINGS))
+    return plain(segmentation.find_outliers(stored_customers(spark, folder), VIEW_SETTINGS))
 
 
 @query("m2_split")
 def _(spark, folder):
-    table = cut_lineage(scored(spark, folder).select("CustomerID", "Total_Spend", "score"))
+    table = scored(spark, folder).select("CustomerID", "Total_Spend", "score")
     marked = outliers.flag_outliers(table, outliers.contamination_threshold(table))
     inside, outside = outliers.split_outliers(marked)
     return plain(
@@ -312,13 +316,13 @@ def _(spark, folder):
 
 @query("m2_flags")
 def _(spark, folder):
-    table = cut_lineage(scored(spark, folder).select("CustomerID", "score"))
+    table = scored(spark, folder).select("CustomerID", "score")
     return outliers.flag_outliers(table, outliers.contamination_threshold(table))
 
 
 @query("m3_threshold")
 def _(spark, folder):
-    table = cut_lineage(scored(spark, folder).select("score"))
+    table = scored(spark, folder).select("score")
     threshold = outliers.contamination_threshold(table)
     above = table.agg(
         F.lit(threshold).alias("threshold"),
@@ -330,24 +334,24 @@ def _(spark, folder):
 
 @query("m5_scale")
 def _(spark, folder):
-    return plain(scaling.standardize(customer_table(spark, folder)))
+    return plain(scaling.standardize(stored_customers(spark, folder)))
 
 
 @query("m6_pca")
 def _(spark, folder):
-    scaled = cut_lineage(scaling.standardize(customer_table(spark, folder)))
+    scaled = cut_lineage(scaling.standardize(stored_customers(spark, folder)))
     return plain(reduction.fit_components(scaled, numbers(scaled)).transform(scaled))
 
 
 @query("m6b_covariance")
 def _(spark, folder):
-    table = customer_table(spark, folder)
+    table = stored_customers(spark, folder)
     return plain(reduction.covariance(scaling.standardize(table), numbers(table)))
 
 
 @query("m6c_explained_variance")
 def _(spark, folder):
-    scaled = cut_lineage(scaling.standardize(customer_table(spark, folder)))
+    scaled = cut_lineage(scaling.standardize(stored_customers(spark, folder)))
     shares = reduction.explained_variance(scaled, numbers(scaled))
     rows = [(i, float(share)) for i, share in enumerate(shares, start=1)]
     return plain(spark.createDataFrame(rows, "component int, share double"))
@@ -355,7 +359,7 @@ def _(spark, folder):
 
 @query("m7_kmeans")
 def _(spark, folder):
-    scaled = cut_lineage(scaling.standardize(customer_table(spark, folder)))
+    scaled = cut_lineage(scaling.standardize(stored_customers(spark, folder)))
     reduced = reduction.fit_components(scaled, numbers(scaled)).transform(scaled)
     axes = [c for c in reduced.columns if c != "CustomerID"]
     centroids, _ = clusters.fit_centroids(reduced, axes)
@@ -364,13 +368,13 @@ def _(spark, folder):
 
 @query("m7b_assign")
 def _(spark, folder):
-    table = customer_table(spark, folder).select("CustomerID", *CENTROID_COLUMNS)
+    table = stored_customers(spark, folder).select("CustomerID", *CENTROID_COLUMNS)
     return clusters.assign(table, CENTROID_COLUMNS, CENTROIDS).select("CustomerID", "cluster")
 
 
 @query("m8_relabel")
 def _(spark, folder):
-    table = cut_lineage(by_remainder(spark, folder).select("CustomerID", "cluster"))
+    table = by_remainder(spark, folder).select("CustomerID", "cluster")
     return clusters.relabel(table)
 
 
@@ -387,20 +391,20 @@ def _(spark, folder):
 
 @query("m10_quality")
 def _(spark, folder):
-    table = cut_lineage(by_remainder(spark, folder).select("CustomerID", "cluster", *CENTROID_COLUMNS))
+    table = by_remainder(spark, folder).select("CustomerID", "cluster", *CENTROID_COLUMNS)
     return plain(clusters.cluster_quality(table, CENTROID_COLUMNS))
 
 
 @query("m10_silhouette")
 def _(spark, folder):
-    table = cut_lineage(by_remainder(spark, folder).select("CustomerID", "cluster", *CENTROID_COLUMNS))
+    table = by_remainder(spark, folder).select("CustomerID", "cluster", *CENTROID_COLUMNS)
     value = clusters.silhouette(table, CENTROID_COLUMNS)
     return plain(spark.createDataFrame([(value,)], "silhouette double"))
 
 
 @query("m10_elbow")
 def _(spark, folder):
-    scaled = cut_lineage(scaling.standardize(customer_table(spark, folder)))
+    scaled = cut_lineage(scaling.standardize(stored_customers(spark, folder)))
     reduced = cut_lineage(reduction.fit_components(scaled, numbers(scaled)).transform(scaled))
     axes = [c for c in reduced.columns if c != "CustomerID"]
     return plain(spark.createDataFrame(clusters.cost_by_k(reduced, axes, range(2, 6)), "k int, cost double"))
