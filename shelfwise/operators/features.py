@@ -73,11 +73,8 @@ def global_last_day(lines: DataFrame) -> DataFrame:
 
 
 def recency(lines: DataFrame) -> DataFrame:
-    return (
-        last_day(lines)
-        .crossJoin(F.broadcast(global_last_day(lines)))  # one row
-        .select(KEY, F.datediff("Most_Recent_Day", "InvoiceDay").alias("Days_Since_Last_Purchase"))
-    )
+    latest = global_last_day(lines).scalar()
+    return last_day(lines).select(KEY, F.datediff(latest, "InvoiceDay").alias("Days_Since_Last_Purchase"))
 
 
 def transactions(lines: DataFrame) -> DataFrame:
@@ -280,7 +277,7 @@ def customer_features(lines: DataFrame, settings: Settings = Settings()) -> Data
     )
     days = F.datediff("last_day", "first_day")
     features: dict[str, Column] = {
-        "Days_Since_Last_Purchase": F.datediff("Most_Recent_Day", "last_day"),
+        "Days_Since_Last_Purchase": F.datediff(global_last_day(lines).scalar(), "last_day"),
         "Average_Transaction_Value": ratio("Total_Spend", "Total_Transactions"),
         "Average_Days_Between_Purchases": ratio(days, F.col("lines") - 1),
         "Cancellation_Rate": ratio("Cancellation_Frequency", "Total_Transactions"),
@@ -289,6 +286,5 @@ def customer_features(lines: DataFrame, settings: Settings = Settings()) -> Data
     return (
         customers.where(F.col("lines") >= settings.min_lines)
         .join(unique_products(lines), KEY)
-        .crossJoin(F.broadcast(global_last_day(lines)))  # one row
         .select(KEY, *[features.get(c, F.col(c)).alias(c) for c in feature_columns(settings.with_rate)])
     )

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions import joins
+
 KEY = "CustomerID"
 
-# What is joined to the lines is broadcast up to these sizes, which are counted
-# first; beyond them the joins shuffle. A cluster stands for one top list, and
-# a customer for one pair of customer and cluster.
+# Top lists are broadcast for up to this many clusters, which are counted first;
+# beyond, they are joined by shuffle.
 MAX_BROADCAST_CLUSTERS = 10_000
-MAX_BROADCAST_CUSTOMERS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -26,20 +26,18 @@ class Sizes:
         return cls(*customers.agg(F.count(F.lit(1)), F.count_distinct("cluster")).first())
 
     def small_customers(self) -> bool:
-        return self.customers <= MAX_BROADCAST_CUSTOMERS
+        return self.customers <= joins.MAX_BROADCAST_CUSTOMERS
 
     def cluster_side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.clusters <= MAX_BROADCAST_CLUSTERS else df
 
 
 def drop_outlier_lines(lines: DataFrame, outliers: DataFrame) -> DataFrame:
-    """Outliers grow with the customers, so there is no broadcast hint: the
-    adaptive planner broadcasts a small side and splits a skewed customer."""
-    return lines.join(outliers.select(KEY), KEY, "left_anti")
+    return joins.join_by_customer(lines, outliers.select(KEY), KEY, "left_anti")
 
 
 def lines_with_cluster(lines: DataFrame, customers: DataFrame) -> DataFrame:
-    return lines.join(customers.select(KEY, "cluster"), KEY)
+    return joins.join_by_customer(lines, customers.select(KEY, "cluster"), KEY)
 
 
 def customer_products(lines: DataFrame) -> DataFrame:
@@ -74,7 +72,7 @@ def top_products(sellers: DataFrame, n: int = 10) -> DataFrame:
 def purchases(lines: DataFrame, customers: DataFrame) -> DataFrame:
     """What each customer of a cluster has bought; cancelled lines count."""
     bought = lines.select(KEY, "StockCode").distinct()
-    return lines_with_cluster(bought, customers).select(KEY, "cluster", "StockCode")
+    return bought.join(customers.select(KEY, "cluster"), KEY).select(KEY, "cluster", "StockCode")
 
 
 def top_lists(top: DataFrame) -> DataFrame:

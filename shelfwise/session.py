@@ -33,14 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may fall back to a folder of this machine.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="shelfwise-")
-    context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            folder = tempfile.mkdtemp(prefix="shelfwise-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

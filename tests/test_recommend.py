@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from toy import settings, toy_lines
 
+from shelfwise.functions import joins
 from shelfwise.operators import recommend
 from shelfwise.operators.cleaning import clean
 
@@ -79,7 +80,7 @@ def test_nothing_left_to_recommend(spark, toy):
 @pytest.mark.parametrize("small", [True, False])
 def test_against_brute_force(spark, monkeypatch, small):
     if not small:
-        monkeypatch.setattr(recommend, "MAX_BROADCAST_CUSTOMERS", 0)
+        monkeypatch.setattr(joins, "MAX_BROADCAST_CUSTOMERS", 0)
         monkeypatch.setattr(recommend, "MAX_BROADCAST_CLUSTERS", 0)
     pdf = random_lines()
     customers = pd.DataFrame({"CustomerID": range(1, 60)})
@@ -110,8 +111,26 @@ def test_outlier_lines_do_not_count(spark):
     assert {c: [x for x in row[::2] if x] for c, row in found.items()} == {
         c: [code for code, _ in products] for c, products in expected.items()
     }
-    dropped = recommend.drop_outlier_lines(lines, outside)
-    assert dropped.count() == (~pdf["CustomerID"].isin([7, 8])).sum()
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_line_joins_keep_every_line(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(joins, "MAX_BROADCAST_CUSTOMERS", 0)
+    pdf = random_lines(4)
+    lines = spark.createDataFrame(pd.concat([pdf, pdf.head(50)]))  # equal lines, too
+    outside = spark.createDataFrame([(7,), (8,)], "CustomerID long")
+    assigned = spark.createDataFrame([(7, 1), (9, 0)], "CustomerID long, cluster int")
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    all_rows = [tuple(r) for r in lines.collect()]
+    assert rows(recommend.drop_outlier_lines(lines, outside)) == sorted(r for r in all_rows if r[0] not in (7, 8))
+    cluster = {7: 1, 9: 0}
+    assert rows(recommend.lines_with_cluster(lines, assigned)) == sorted(
+        (*r, cluster[r[0]]) for r in all_rows if r[0] in cluster
+    )
 
 
 def test_features_come_along(spark, toy):
