@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import joins
+from shelfwise.session import cut_lineage
 
 KEY = "CustomerID"
 
@@ -81,6 +82,12 @@ def top_lists(top: DataFrame) -> DataFrame:
     return top.groupBy("cluster").agg(F.array_sort(F.collect_list(product)).alias("top"))
 
 
+def stored_lists(lines: DataFrame, customers: DataFrame, sizes: Sizes, n: int) -> DataFrame:
+    """The top lists, stored: they are tiny, cost a pass over all lines, and
+    are joined twice."""
+    return cut_lineage(top_lists(top_products(best_sellers(lines, customers, sizes), n)))
+
+
 def not_bought(lines: DataFrame, customers: DataFrame, lists: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Each customer with the top products of the cluster they have not bought.
 
@@ -107,7 +114,7 @@ def not_bought(lines: DataFrame, customers: DataFrame, lists: DataFrame, sizes:
 def candidates(lines: DataFrame, customers: DataFrame, top_n: int = 10, k: int = 3) -> DataFrame:
     """The first k products not bought, one row each."""
     sizes = Sizes.of(customers)
-    lists = top_lists(top_products(best_sellers(lines, customers, sizes), top_n))
+    lists = stored_lists(lines, customers, sizes, top_n)
     return (
         not_bought(lines, customers.select(KEY, "cluster"), lists, sizes)
         .select(KEY, "cluster", F.posexplode(F.slice("options", 1, k)).alias("position", "product"))
@@ -137,7 +144,7 @@ def recommend(
     if outliers is not None:
         customers = customers.join(outliers.select(KEY), KEY, "left_anti")
     sizes = Sizes.of(customers)
-    lists = top_lists(top_products(best_sellers(lines, customers, sizes), top_n))
+    lists = stored_lists(lines, customers, sizes, top_n)
     return wide(not_bought(lines, customers, lists, sizes), k)
 
 
