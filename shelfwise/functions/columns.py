@@ -48,9 +48,12 @@ def null_if_marker(value: str, markers: Iterable[str]) -> Column:
 
 
 def parse_timestamp(text: str, pattern: str, lenient: bool = False) -> Column:
-    """Junk raises, or becomes null when lenient."""
-    parse = F.try_to_timestamp if lenient else F.to_timestamp
-    return parse(F.col(text), F.lit(pattern) if lenient else pattern)
+    """A time without a zone, as written. Junk raises, or becomes null when
+    lenient."""
+    parsed = F.to_timestamp_ntz(F.col(text), F.lit(pattern))
+    if lenient:
+        return F.when(F.try_to_timestamp(F.col(text), F.lit(pattern)).isNotNull(), parsed)
+    return parsed
 
 
 def line_spend() -> Column:

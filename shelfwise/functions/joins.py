@@ -12,7 +12,7 @@ SALTS = 16
 
 
 def is_small(keyed: DataFrame) -> bool:
-    return keyed.limit(MAX_BROADCAST_CUSTOMERS + 1).count() <= MAX_BROADCAST_CUSTOMERS
+    return keyed.count() <= MAX_BROADCAST_CUSTOMERS
 
 
 def join_by_customer(lines: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:

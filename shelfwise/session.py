@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", app: str = "shelfwise") -> SparkSessio
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")  # the steps repeat; do not compile them again
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from toy import ROWS, columns, toy_lines
+from toy import ROWS, SCHEMA, columns, toy_lines
 
 from shelfwise.operators import cleaning
 
@@ -19,7 +19,7 @@ def test_clean_keeps_the_expected_lines(lines):
 
 def test_copies_go_before_descriptions_are_upper_cased(spark):
     rows = [ROWS[0], ROWS[0][:2] + ("RED MUG",) + ROWS[0][3:], ROWS[0]]
-    lines = spark.createDataFrame(rows, toy_lines(spark).schema.simpleString().replace("timestamp", "string")[7:-1])
+    lines = spark.createDataFrame(rows, SCHEMA)
     assert [r["Description"] for r in cleaning.clean(lines).collect()] == ["RED MUG", "RED MUG"]
 
 

@@ -150,9 +150,12 @@ def test_purchases_ignore_repeats(toy):
 def test_plan_limits_before_the_shuffle_and_broadcasts_top_lists(spark, toy, capsys):
     lines, customers = toy
     with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        recommend.top_products(recommend.best_sellers(lines, customers)).explain()
+        best = capsys.readouterr().out
         recommend.recommend(lines, customers).explain()
     plan = capsys.readouterr().out
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert best.index("Final") < best.index("Exchange hashpartitioning(cluster") < best.index("Partial")
+    assert "WindowGroupLimit" in best and "WindowGroupLimit" not in plan  # the lists are computed once
     assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
-    assert "CartesianProduct" not in plan and "Python" not in plan
-    assert "Exchange hashpartitioning(cluster" in plan  # of the top rows only
+    for each in (best, plan):
+        assert "CartesianProduct" not in each and "NestedLoop" not in each and "Python" not in each

@@ -6,6 +6,7 @@ import glob
 
 import pytest
 from pyspark.sql import functions as F
+from toy import settings
 
 from shelfwise.session import new_path, shared_folder
 from shelfwise.sources import transactions as io
@@ -51,6 +52,14 @@ def test_junk_raises_or_becomes_null(spark, tmp_path):
         io.read_transactions(spark, path).collect()
 
 
+def test_times_do_not_depend_on_the_time_zone(spark, tmp_path):
+    path = write(tmp_path, "1,22222,x,1,3/28/2021 2:30,1.0,1,UK")
+    with settings(spark, {"spark.sql.session.timeZone": "Europe/Paris"}):  # an hour that clocks skip there
+        for lenient in (False, True):
+            row = io.read_transactions(spark, path, lenient_dates=lenient).first()
+            assert row["InvoiceDate"] == datetime.datetime(2021, 3, 28, 2, 30)
+
+
 def test_sink_is_ordered_with_a_header_and_float_customers(spark):
     rows = [(20000000, 1, "b"), (3, 0, None), (1, 1, 'say "x", y')]
     df = spark.createDataFrame(rows, "CustomerID long, cluster int, Rec1_Description string")
