@@ -17,19 +17,19 @@ QUALITY = f"""
 docs as (select row_number() over () as r, * from documents),
 worded as (
   select r, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l
   from docs),
 starts as (select r, w, unnest(range(1, len(w) - 6)) as i from worded),
 windows as (select r, i, count(*) over (partition by r, w[i:i + 7]) as n from starts),
 covered as (select distinct r, i + d as p from windows, range(8) as s(d) where n > 1),
 repeated as (select r, count(*) as n_repeat_words from covered group by r),
 counted as (
-  select r, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::bigint as word_chars,
+  select r, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
          (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, len(l) as n_lines,
          length(regexp_replace(t, '[^A-Z]', '', 'g')) as capitals,
-         len(list_filter(w, x -> x in ({_STOPS}))) as stops,
-         len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) as same
+         len(list_filter(w, lambda x: x in ({_STOPS}))) as stops,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as same
   from worded),
 measured as (
   select counted.*, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
