@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import minhash, quality
+from shelfwise.llm import contextual_pii, minhash, packing, quality
 from shelfwise.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contextual_pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [f"n_{kind}" for kind in contextual_pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
