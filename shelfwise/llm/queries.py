@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import contextual_pii, minhash, packing, quality
+from shelfwise.llm import contextual_pii, minhash, packing, quality, suffix_dedup
 from shelfwise.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,15 @@ def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(documents, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix_dedup.remove_repeats(documents, suffix_dedup.Repeats(400)).select(
+        "row.doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
