@@ -170,4 +170,9 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     """The rows that pass, with the columns they came with."""
     columns = df.columns
     inner = df.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    return assess(inner, "__text", rules).where("kept").select(*[F.col("__row")[c].alias(c) for c in columns])
+    # The row number is no condition. Without it the filter would move below the projections, and what they compute
+    # once for a text would be computed again for each word inside the lambdas.
+    judged = assess(inner, "__text", rules).withColumn("__number", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__number") >= 0)).select(
+        *[F.col("__row")[c].alias(c) for c in columns]
+    )
