@@ -20,7 +20,7 @@ BANDS = 32
 ROWS = 5
 SKETCH_WORDS = 4  # of 64 bits
 BLOCK = 2048  # nodes that meet in one cell of an exhaustive comparison
-SPLITS = 8  # of a pair's hub, so that no task gets all pairs of one document
+TURNS = 3  # of pairs with hubs
 CACHE = 500_000
 
 _rng = np.random.default_rng(20)
@@ -155,9 +155,9 @@ def _alike(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return pairs.where(different_bits("odd_a", "odd_b") <= most).select("a", "b")
 
 
-def _star(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs of each bucket's hub with the bucket's other nodes, or with those that aren't yet in the hub's component:
-    as many as there are nodes. The hub is the node that a hash picks, another one in each turn."""
+def _star(buckets: DataFrame, labels: DataFrame | None, seen: DataFrame | None, turn: int) -> DataFrame:
+    """For each node one pair, with the hub of one of its buckets that isn't yet in its component and that it hasn't
+    met: as many pairs as nodes at most. The hub is the node that a hash picks, another one in each turn."""
     if labels is not None:
         buckets = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
@@ -168,19 +168,20 @@ def _star(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
         F.min("label").alias("least"),
         F.max("label").alias("most"),
     ).where(F.col("least") != F.col("most"))
-    return (
-        buckets.join(hubs, "bucket")
-        .where(F.col("label") != F.col("hub.label"))
-        .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        .distinct()
-    )
+    met = buckets.join(hubs, "bucket").where(F.col("label") != F.col("hub.label"))
+    if seen is not None:
+        a, b = F.least("node", "hub.node"), F.greatest("node", "hub.node")
+        met = met.select("node", "hub", a.alias("a"), b.alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+    first = met.groupBy("node").agg(F.min("hub")["node"].alias("hub"))
+    return first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """All pairs of nodes that share a bucket but not a component and whose odd sketches differ in few bits.
 
     Buckets of one component are done. Of the others, the nodes meet in cells of at most about BLOCK nodes on either
-    side, and only pairs that pass leave a cell."""
+    side. Only pairs that pass leave a cell, and of the cells of all buckets that a pair shares only the first one's,
+    which 32 bits of each band tell."""
     open_nodes = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = (
         open_nodes.groupBy("bucket")
@@ -190,7 +191,8 @@ def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
     )
     placed = (
         open_nodes.join(sizes, "bucket")
-        .join(nodes.select("node", "odd"), "node")
+        .join(nodes.select("node", "odd", "bands"), "node")
+        .withColumn("tags", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")))
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
@@ -201,6 +203,7 @@ def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
             "node",
             "label",
             "odd",
+            "tags",
         )
     )
 
@@ -208,6 +211,8 @@ def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
         node = np.array(table.column("node").to_pylist(), dtype=object)
         labels = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
         odd = np.array(table.column("odd").to_pylist(), dtype=np.int64).reshape(-1, SKETCH_WORDS)
+        tags = np.array(table.column("tags").to_pylist(), dtype=np.int32).reshape(-1, BANDS)
+        own = table.column("bucket")[0].as_py() >> 32
         part = table.column("part").to_numpy()
         row, column = table.column("row")[0].as_py(), table.column("column")[0].as_py()
         left, right = np.flatnonzero(part == row), np.flatnonzero(part == column)
@@ -219,6 +224,9 @@ def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
             )
             hit = (bits <= most) & (labels[some][:, None] != labels[right][None, :])
             i, j = np.nonzero(hit)
+            same = tags[some[i]] == tags[right[j]]
+            here = tags[some[i], same.argmax(axis=1)] == own
+            i, j = i[here], j[here]
             first += list(node[some[i]])
             second += list(node[right[j]])
         return pa.table(
@@ -229,8 +237,8 @@ def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs whose full sets reach the threshold. The other nodes of a hub are dealt over SPLITS groups; a group
-    streams, so that it holds the hub's set and one slice of others."""
+    """The pairs whose full sets reach the threshold. The other nodes of a hub are dealt over groups of
+    about 64, each with the hub's set."""
     # the end with more pairs is the hub
     often = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).groupBy("node").count()
     for end in ("a", "b"):
@@ -284,8 +292,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`, by whole texts.
 
-    Rows with equal sets are one node from the start. Bands of MinHash samples propose pairs: first each bucket's hub
-    with the others, a second time with other hubs where a bucket still holds several components, and then whatever
+    Rows with equal sets are one node from the start. Bands of MinHash samples propose pairs: first each node with a
+    hub of its buckets, some times with other hubs where a bucket still holds several components, and then whatever
     pairs of different components are left, so that no link between components is missed beyond the bands' own chance
     ((1 - s^5)^32: 7e-9 at s = 0.85, 3e-6 at 0.8). Odd sketches drop unlike pairs before sets are read; full sets
     decide.
@@ -311,12 +319,13 @@ def near_duplicates(
     sets = stored(_sets(docs, wanted, like.words, text), "sets")
 
     links = labels = seen = None
-    for turn in range(3):
-        pairs = _star(buckets, labels, turn) if turn < 2 else _every(buckets, labels, nodes, most)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stored(pairs if turn == 2 else _alike(pairs, nodes, most), "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
+    for turn in range(TURNS + 1):
+        if turn < TURNS:
+            pairs = stored(_star(buckets, labels, seen, turn), "star")
+            seen = pairs if seen is None else seen.union(pairs)
+            pairs = _alike(pairs, nodes, most)
+        else:
+            pairs = stored(_every(buckets, labels, nodes, most).join(seen, ["a", "b"], "left_anti"), "pairs")
         found = stored(_confirmed(pairs, sets, like), "confirmed")
         links = found if links is None else links.union(found)
         labels = components(links)
