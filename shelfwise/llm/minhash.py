@@ -210,7 +210,8 @@ def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -
     def compare(table: pa.Table) -> pa.Table:
         node = np.array(table.column("node").to_pylist(), dtype=object)
         labels = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-        odd = np.array(table.column("odd").to_pylist(), dtype=np.int64).reshape(-1, SKETCH_WORDS)
+        odd = np.array(table.column("odd").to_pylist(), dtype=np.int64).view(np.uint64)
+        odd = odd.reshape(-1, SKETCH_WORDS)  # unsigned: of a negative number, numpy counts the bits of the absolute
         tags = np.array(table.column("tags").to_pylist(), dtype=np.int32).reshape(-1, BANDS)
         own = table.column("bucket")[0].as_py() >> 32
         part = table.column("part").to_numpy()
