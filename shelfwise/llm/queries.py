@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import contextual_pii, minhash, packing, quality, suffix_dedup
-from shelfwise.llm.storage import table
+from shelfwise.llm import (
+    bpe,
+    contextual_pii,
+    minhash,
+    packing,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    tag_paths,
+    topk,
+    warc,
+)
+from shelfwise.llm.storage import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -19,6 +31,44 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tag_paths.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return pages.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), *files)
+    return bpe.decode(encoded, *files).select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op3_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    kinds = F.array(*[F.lit(rule.kind) for rule in secret_scan.RULES])
+
+    def written(spans: Column) -> Column:
+        parts = F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"].cast("string"), x["e"].cast("string")))
+        return F.concat_ws(",", parts)
+
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("found", lambda x: x["k"] == k)).cast("long")
+
+    return found.select(
+        "row.doc_id",
+        *[of_kind(k).alias(f"n_{rule.kind}") for k, rule in enumerate(secret_scan.RULES[: secret_scan.BASE])],
+        F.sha2(written(F.filter("found", lambda x: x["k"] < secret_scan.BASE)), 256).alias("base_sha256"),
+        written(F.col("found")).alias("spans"),
+    )
+
+
 @query
 def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -33,6 +83,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
+
+
+@query
+def op8_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder, least_bytes=0)
+    return warc.read_archive(spark, folder).select(
+        "page_id",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.base32(F.sha1("payload")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 @query
 def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contextual_pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from shelfwise.llm.quality import RULES, STOP_WORDS
+from shelfwise.llm.secret_scan import BASE
+from shelfwise.llm.secret_scan import RULES as RULES_OF_SECRETS
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RULES = " and ".join(
@@ -70,7 +72,62 @@ grouped as (
 """
 
 
+def _secrets() -> str:
+    """Spans of each rule: what lies between matches gives their places."""
+    parts = []
+    for k, rule in enumerate(RULES_OF_SECRETS):
+        regex = rule.regex.replace("'", "''")
+        parts.append(f"""
+  select r, {k} as k, '{rule.kind}' as kind, unnest(regexp_extract_all(t, '{regex}')) as m,
+         unnest(string_split_regex(t, '{regex}')[:-2]) as gap, unnest(range(len(regexp_extract_all(t, '{regex}')))) as i,
+         '{regex}' as re, {rule.group} as g, {rule.least} as least
+  from texts where regexp_matches(t, '{regex}')""")
+    counts = ", ".join(
+        f"count(*) filter (kind = '{rule.kind}')::bigint as n_{rule.kind}" for rule in RULES_OF_SECRETS[:BASE]
+    )
+    return f"""
+with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+matches as ({" union all ".join(parts)}),
+ends as (select *, sum(length(gap) + length(m)) over (partition by r, k order by i) as e from matches),
+spans as (select r, k, kind, (e - length(m))::bigint as s, e::bigint as e from ends
+          where length(case when g = 0 then m else regexp_extract(m, '{RULES_OF_SECRETS[0].regex.replace("'", "''")}', 2)
+                       end) >= least)
+select doc_id, {counts},
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < {BASE}), ''))
+         as base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (kind is not null), '') as spans
+from texts left join spans using (r) group by r, doc_id"""
+
+
+_VECTORS = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 20"""
+
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {i + 1}, 5))::int >> {s}) & 31) + 1)::int, 1)"
+    for i in range(0, 40, 5)
+    for s in (15, 10, 5, 0)
+)
+_ARCHIVE = f"""
+with p as (select page_id, url, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from pages),
+n as (select *, row_number() over (partition by t order by page_id nulls last, url nulls last) as place,
+             first_value(page_id) over (partition by t order by page_id nulls last, url nulls last) as one from p)
+select page_id, strlen(t)::bigint as payload_bytes, {_LETTERS} as payload_digest,
+       case when place = 1 then 'response' else 'revisit' end as record_type,
+       case when place > 1 then one end as refers_to
+from n"""
+
 ORACLES: dict[str, str] = {
+    "op3_trigram_secrets": _secrets(),
+    "op7_histogram_top_k": _VECTORS,
+    "op8_content_archive": _ARCHIVE,
     "op4_minhash_odd_sketch": f"with recursive {similar(3, 85, 100, 'documents')} select * from grouped",
     "op6_quality_rules": f"with {QUALITY} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, "
     "base_failed, kept from assessed",
