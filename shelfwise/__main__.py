@@ -20,13 +20,16 @@ def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="shelfwise", description=__doc__.splitlines()[0])
     parser.add_argument("lines", help="CSV with a header, one row per invoice line")
     parser.add_argument("output", nargs="?", help="folder for the result; without it only the segments are shown")
-    parser.add_argument("--date-pattern", default=DATE_PATTERN)
+    parser.add_argument("--date-pattern", action="append", help="may be given several times; the first that fits counts")
+    parser.add_argument("--multi-line", action="store_true", help="quoted fields may hold line breaks")
     parser.add_argument("--with-rate", action="store_true", help="include the cancellation rate")
     options = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("shelfwise").getOrCreate()
     settings = Settings(with_rate=options.with_rate)
-    lines = read_transactions(spark, options.lines, date_pattern=options.date_pattern)
+    lines = read_transactions(
+        spark, options.lines, date_pattern=options.date_pattern or DATE_PATTERN, multi_line=options.multi_line
+    )
     if options.output is None:
         preview(segment(lines, settings).customers).show()
         return

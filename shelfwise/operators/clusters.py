@@ -18,7 +18,7 @@ from shelfwise.functions.columns import squared_distance
 
 KEY = "CustomerID"
 FITS_AT_A_TIME = 10
-ROWS_PER_TASK = 50_000  # fewer are not worth a task in every iteration
+PARTITIONS = 8  # of the points, whatever their number; two at least
 TOLERANCE = 1e-4  # of the mean variance, for the squared move of all centroids
 
 
@@ -33,15 +33,22 @@ def fit_centroids(
     starts: int = 10,
     max_iterations: int = 100,
     seed: int = 0,
+    partitions: int = PARTITIONS,
 ) -> tuple[list[list[float]], list[float]]:
     """Centroids of the cheapest of several starts, in a fixed order, and the
     cost of every start. The fits share one persisted input and run side by
-    side, so that the last tasks of one overlap with the next."""
+    side, so that the last tasks of one overlap with the next.
+
+    Starts are drawn by partition and row, so the points are first put in an
+    order that depends on nothing but themselves and on `partitions`, which a
+    large table should raise to the number of cores."""
     spark = points.sparkSession
-    count, *variances = points.agg(F.count(F.lit(1)), *[F.var_pop(c) for c in columns]).first()
+    variances = points.agg(*[F.var_pop(c) for c in columns]).first()
     # each centroid may move by its part of the whole tolerance
     tolerance = math.sqrt(TOLERANCE * sum(variances) / len(variances) / k)
-    vectors = _vectors(points, columns).select("features").coalesce(max(1, count // ROWS_PER_TASK))
+    order = [c for c in [KEY, *columns] if c in points.columns]
+    placed = points.repartition(max(2, partitions), *order).sortWithinPartitions(*order)
+    vectors = _vectors(placed, columns).select("features")
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(start: int) -> tuple[float, list[list[float]]]:
@@ -77,8 +84,14 @@ def frequency_labels(assigned: DataFrame) -> dict[int, int]:
 
 
 def relabel(assigned: DataFrame, labels: Mapping[int, int] | None = None) -> DataFrame:
-    """Renames clusters by a given map, or by frequency."""
-    labels = frequency_labels(assigned) if labels is None else labels
+    """Renames clusters by a given map, or by frequency. A map that lacks one
+    of the clusters is an error: its customers would be lost."""
+    if labels is None:
+        labels = frequency_labels(assigned)
+    else:
+        missing = {row["cluster"] for row in cluster_sizes(assigned).collect()} - set(labels)
+        if missing:
+            raise ValueError(f"no label for the clusters {sorted(missing)}")
     if not labels:
         return assigned
     new = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])

@@ -245,7 +245,11 @@ FEATURE_QUERIES = {
     "a8_favorite_day": "select CustomerID, cast(k as int) as Day_Of_Week from days",
     "a9_favorite_hour": "select CustomerID, cast(k as int) as Hour from hours",
     "a12_main_country": "select CustomerID, k as Country from countries",
-    "a12_home_country": "select CustomerID, case when k = 'NATION_0' then 1 else 0 end as Is_UK from countries",
+    "a12_home_country": (
+        "select b.CustomerID, case when b.CustomerID % 40 = 0 or k is null then null "
+        "when k = 'NATION_0' then 1 else 0 end as Is_UK "
+        "from base b left join countries c on c.CustomerID = b.CustomerID"
+    ),
     "j3_left_join_home": (
         "select b.CustomerID, case when k = 'NATION_0' then 1 else 0 end as Is_UK "
         "from base b left join countries c on c.CustomerID = b.CustomerID"

@@ -247,10 +247,14 @@ for _name, _feature in {
     QUERIES[_name] = lambda spark, folder, feature=_feature: plain(feature(cleaned(spark, folder)))
 
 
+def without_countries(lines: DataFrame) -> DataFrame:
+    """Every 40th customer has no country on any line, so that nulls count."""
+    return lines.withColumn("Country", F.when(F.col("CustomerID") % 40 != 0, F.col("Country")))
+
+
 @query("a12_home_country")
 def _(spark, folder):
-    home = features.home_country(cleaned(spark, folder), VIEW_SETTINGS.home_country)
-    return home.where(F.col("Is_UK").isNotNull())
+    return features.home_country(without_countries(cleaned(spark, folder)), VIEW_SETTINGS.home_country)
 
 
 @query("j3_left_join_home")

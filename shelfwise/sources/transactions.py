@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ LINES = T.StructType(
 )
 
 DATE_PATTERN = "M/d/yyyy H:mm"
+SURPLUS = "__surplus"
 
 
 def normalize_nulls(df: DataFrame, markers: Iterable[str] = NULL_MARKERS) -> DataFrame:
@@ -46,31 +47,48 @@ def read_transactions(
     path: str,
     schema: T.StructType = LINES,
     encoding: str = "ISO-8859-1",
-    date_pattern: str = DATE_PATTERN,
+    date_pattern: str | Sequence[str] = DATE_PATTERN,
     markers: Iterable[str] = NULL_MARKERS,
     lenient_dates: bool = False,
     multi_line: bool = False,
 ) -> DataFrame:
     """Scan CSV files with a header.
 
-    Columns are read as text and cast after the null markers are gone, so a
-    marker in a number column is null while real junk raises. `multi_line`
-    allows line breaks inside quotes, at the price of unsplittable files.
+    Columns are found by the names in the header, in any order; a missing one
+    raises, others are ignored. A line with more fields than the header raises,
+    one with fewer is filled up with nulls. Columns are read as text and cast
+    after the null markers are gone, so a marker in a number column is null
+    while real junk raises. Of several date patterns the first that fits
+    counts. `multi_line` allows line breaks inside quotes, at the price of
+    unsplittable files.
     """
-    texts = T.StructType([T.StructField(field.name, T.StringType()) for field in schema])
-    raw = (
-        spark.read.schema(texts)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+
+    def options(reader: DataFrameReader) -> DataFrameReader:
+        return (
+            reader.option("encoding", encoding)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", multi_line)
+        )
+
+    names = options(spark.read.option("header", True).option("inferSchema", False)).csv(path).columns
+    missing = [field.name for field in schema if field.name not in names]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {missing}")
+    # one column beyond the header catches surplus fields
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in [*names, SURPLUS]])
+    raw = options(spark.read.schema(texts).option("header", True).option("enforceSchema", True)).csv(path)
+    checked = F.when(
+        F.col(SURPLUS).isNotNull(), F.raise_error(F.concat(F.lit("more fields than in the header: "), F.col(SURPLUS)))
+    ).otherwise(F.col(schema[0].name))
+    raw = raw.select(*[(checked if i == 0 else F.col(f.name)).alias(f.name) for i, f in enumerate(schema)])
     typed = normalize_nulls(raw, markers)
     lines = typed.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema])
     if "InvoiceDate" in lines.columns:
-        lines = lines.withColumn("InvoiceDate", parse_timestamp("InvoiceDate", date_pattern, lenient_dates))
+        patterns = [date_pattern] if isinstance(date_pattern, str) else list(date_pattern)
+        # the last pattern raises on junk unless dates are lenient
+        parsed = [parse_timestamp("InvoiceDate", p, lenient_dates or p != patterns[-1]) for p in patterns]
+        lines = lines.withColumn("InvoiceDate", F.coalesce(*parsed))
     return lines
 
 

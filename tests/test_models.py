@@ -234,3 +234,21 @@ def test_settings_are_restored(spark):
     with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
         pass
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_clusters_do_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.normal(3 * (i % 3), 1.0, 2))) for i in range(600)]
+    found = set()
+    for partitions in (1, 3, 8):
+        df = spark.createDataFrame(rows, "CustomerID long, PC1 double, PC2 double").repartition(partitions)
+        centroids, _ = clusters.fit_centroids(df, ["PC1", "PC2"], starts=3)
+        labels = clusters.assign(df, ["PC1", "PC2"], centroids).orderBy("CustomerID").collect()
+        found.add(tuple(r["cluster"] for r in labels))
+    assert len(found) == 1
+
+
+def test_a_map_without_a_cluster_raises(spark):
+    df = spark.createDataFrame([(i, i % 4) for i in range(8)], "CustomerID long, cluster int")
+    with pytest.raises(ValueError, match="3"):
+        clusters.relabel(df, {0: 1, 1: 2, 2: 0})

@@ -107,3 +107,35 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session())
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text(
+        "Extra,Description,StockCode,InvoiceNo,Quantity,UnitPrice,InvoiceDate,Country,CustomerID\n"
+        "x,red mug,22222,1,2,1.5,1/2/2011 9:05,UK,7\n"
+    )
+    row = io.read_transactions(spark, str(path)).first()
+    assert row.asDict() == {
+        "InvoiceNo": "1", "StockCode": "22222", "Description": "red mug", "Quantity": 2,
+        "InvoiceDate": datetime.datetime(2011, 1, 2, 9, 5), "UnitPrice": 1.5, "CustomerID": 7.0, "Country": "UK",
+    }
+
+
+def test_missing_columns_and_surplus_fields_raise(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text("InvoiceNo,StockCode\n1,2\n")
+    with pytest.raises(ValueError, match="CustomerID"):
+        io.read_transactions(spark, str(path))
+    with pytest.raises(Exception, match="more fields"):
+        io.read_transactions(spark, write(tmp_path, "1,22222,x,1,1/2/2011 9:05,1.0,1,UK,surplus")).collect()
+    short = io.read_transactions(spark, write(tmp_path, "1,22222,x,1,1/2/2011 9:05")).first()
+    assert (short["Quantity"], short["Country"]) == (1, None)
+
+
+def test_several_date_patterns_and_line_breaks(spark, tmp_path):
+    path = write(tmp_path, '1,22222,"red\nmug",1,2011-02-01 09:05,1.0,1,UK', "2,22222,x,1,2/1/2011 9:05,1.0,1,UK")
+    lines = io.read_transactions(spark, path, date_pattern=["M/d/yyyy H:mm", "yyyy-MM-dd HH:mm"], multi_line=True)
+    first, second = lines.orderBy("InvoiceNo").collect()
+    assert first["Description"] == "red\nmug"
+    assert first["InvoiceDate"] == second["InvoiceDate"] == datetime.datetime(2011, 2, 1, 9, 5)
