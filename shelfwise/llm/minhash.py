@@ -19,8 +19,9 @@ from shelfwise.llm.storage import stored
 BANDS = 32
 ROWS = 5
 SKETCH_WORDS = 4  # of 64 bits
-BLOCK = 2048  # nodes that meet in one cell of an exhaustive comparison
-TURNS = 3  # of pairs with hubs
+BLOCK = 2048  # nodes on either side of a cell of an exhaustive comparison
+CELL_BYTES = 16 << 20  # and of their sets
+TURNS = 2  # of pairs with hubs
 CACHE = 500_000
 
 _rng = np.random.default_rng(20)
@@ -176,65 +177,80 @@ def _star(buckets: DataFrame, labels: DataFrame | None, seen: DataFrame | None,
     return first.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """All pairs of nodes that share a bucket but not a component and whose odd sketches differ in few bits.
+def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Links between different components among nodes that share a bucket.
 
-    Buckets of one component are done. Of the others, the nodes meet in cells of at most about BLOCK nodes on either
-    side. Only pairs that pass leave a cell, and of the cells of all buckets that a pair shares only the first one's,
-    which 32 bits of each band tell."""
+    Buckets of one component are done. The others, joined where they share nodes, make families, so that each node is
+    sent once for all of its buckets. A family is dealt into parts of at most about BLOCK nodes and CELL_BYTES of sets,
+    and each two parts meet in a cell. There odd sketches drop unlike pairs, and full sets decide on the rest; what is
+    linked already isn't compared again, and only links leave a cell."""
     open_nodes = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = (
+    hubs = (
         open_nodes.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+        .agg(F.min("node").alias("hub"), F.min("label").alias("least"), F.max("label").alias("most"))
         .where(F.col("least") != F.col("most"))
-        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+        .select("bucket", "hub")
     )
+    edges = buckets.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
+    families = components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    members = (
+        families.withColumnRenamed("label", "family")
+        .join(labels, "node", "left")
+        .withColumn("label", F.coalesce("label", "node"))
+        .join(sets, "node")
+    )
+    parts = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("shingles")) / CELL_BYTES)
+    sizes = members.groupBy("family").agg(F.ceil(parts).cast("int").alias("parts"))
     placed = (
-        open_nodes.join(sizes, "bucket")
-        .join(nodes.select("node", "odd", "bands"), "node")
-        .withColumn("tags", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")))
+        members.join(sizes, "family")
+        .join(nodes.select("node", "odd"), "node")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            "bucket",
+            "family",
             F.least("part", "other").alias("row"),
             F.greatest("part", "other").alias("column"),
             "part",
             "node",
             "label",
             "odd",
-            "tags",
+            "shingles",
         )
     )
+    most = like.most_different_bits()
 
     def compare(table: pa.Table) -> pa.Table:
-        node = np.array(table.column("node").to_pylist(), dtype=object)
-        labels = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-        odd = np.array(table.column("odd").to_pylist(), dtype=np.int64).view(np.uint64)
-        odd = odd.reshape(-1, SKETCH_WORDS)  # unsigned: of a negative number, numpy counts the bits of the absolute
-        tags = np.array(table.column("tags").to_pylist(), dtype=np.int32).reshape(-1, BANDS)
-        own = table.column("bucket")[0].as_py() >> 32
+        node = table.column("node").to_pylist()
+        # unsigned: of a negative number, numpy counts the bits of the absolute
+        odd = np.array(table.column("odd").to_pylist(), dtype=np.int64).view(np.uint64).reshape(-1, SKETCH_WORDS)
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        size = np.array([len(x) for x in full])
+        label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
         part = table.column("part").to_numpy()
         row, column = table.column("row")[0].as_py(), table.column("column")[0].as_py()
         left, right = np.flatnonzero(part == row), np.flatnonzero(part == column)
-        first, second = [], []
-        for start in range(0, len(left), 256):
-            some = left[start : start + 256]
-            bits = sum(
-                np.bitwise_count(odd[some, None, i] ^ odd[None, right, i]).astype(np.int32) for i in range(SKETCH_WORDS)
-            )
-            hit = (bits <= most) & (labels[some][:, None] != labels[right][None, :])
-            i, j = np.nonzero(hit)
-            same = tags[some[i]] == tags[right[j]]
-            here = tags[some[i], same.argmax(axis=1)] == own
-            i, j = i[here], j[here]
-            first += list(node[some[i]])
-            second += list(node[right[j]])
-        return pa.table(
-            {"a": pa.array(map(min, first, second), pa.binary()), "b": pa.array(map(max, first, second), pa.binary())}
-        )
-
-    return placed.groupBy("bucket", "row", "column").applyInArrow(compare, "a binary, b binary").distinct()
+        links = []
+        for place, i in enumerate(left):
+            others = right[place + 1 :] if row == column else right
+            others = others[label[others] != label[i]]
+            bits = np.bitwise_count(odd[others] ^ odd[i]).sum(axis=1, dtype=np.int64)
+            others = others[bits <= most]
+            some = [others[k : k + 256] for k in range(0, len(others), 256)]
+            for near in some:
+                near = near[label[near] != label[i]]
+                if not len(near):
+                    continue
+                ends = np.cumsum(size[near])
+                joined = np.concatenate([full[j] for j in near])
+                at = np.minimum(np.searchsorted(full[i], joined), size[i] - 1)
+                both = np.add.reduceat((full[i][at] == joined).astype(np.int64), ends - size[near])
+                for j in near[like.whole * both >= like.part * (size[i] + size[near] - both)].tolist():
+                    if label[j] != label[i]:
+                        links.append((node[i], node[j]))
+                        label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([x for _, x in links], pa.binary())})
+
+    return placed.groupBy("family", "row", "column").applyInArrow(compare, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -294,8 +310,8 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) for each row of `docs`, by whole texts.
 
     Rows with equal sets are one node from the start. Bands of MinHash samples propose pairs: first each node with a
-    hub of its buckets, some times with other hubs where a bucket still holds several components, and then whatever
-    pairs of different components are left, so that no link between components is missed beyond the bands' own chance
+    hub of its buckets, again with other hubs where a bucket still holds several components, and then whatever pairs
+    of different components are left, so that no link between components is missed beyond the bands' own chance
     ((1 - s^5)^32: 7e-9 at s = 0.85, 3e-6 at 0.8). Odd sketches drop unlike pairs before sets are read; full sets
     decide.
 
@@ -303,7 +319,6 @@ def near_duplicates(
     share a component. The component of texts without any id is null, and a row is kept if its id is the component's,
     null for null. An empty table gives an empty one; other columns are ignored.
     """
-    most = like.most_different_bits()
     rows = stored(sketches(docs, like.words, id_column, text), "sketches")
     filled = rows.where(F.col("n_shingles") > 0)
     nodes = stored(
@@ -320,16 +335,13 @@ def near_duplicates(
     sets = stored(_sets(docs, wanted, like.words, text), "sets")
 
     links = labels = seen = None
-    for turn in range(TURNS + 1):
-        if turn < TURNS:
-            pairs = stored(_star(buckets, labels, seen, turn), "star")
-            seen = pairs if seen is None else seen.union(pairs)
-            pairs = _alike(pairs, nodes, most)
-        else:
-            pairs = stored(_every(buckets, labels, nodes, most).join(seen, ["a", "b"], "left_anti"), "pairs")
-        found = stored(_confirmed(pairs, sets, like), "confirmed")
+    for turn in range(TURNS):
+        pairs = stored(_star(buckets, labels, seen, turn), "star")
+        seen = pairs if seen is None else seen.union(pairs)
+        found = stored(_confirmed(_alike(pairs, nodes, like.most_different_bits()), sets, like), "confirmed")
         links = found if links is None else links.union(found)
         labels = components(links)
+    labels = components(links.union(stored(_every(buckets, labels, nodes, sets, like), "every")))
 
     named = nodes.select("node", F.col("doc_id").alias("own")).join(labels, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))

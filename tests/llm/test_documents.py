@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import random
 import re
 import zlib
@@ -143,26 +142,23 @@ def test_near_duplicates_of_repeated_rows_and_nothing(documents):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_exhaustive_cells_find_all_pairs(spark):
-    """Buckets larger than a block are compared in cells, and each pair leaves one of them."""
+def test_exhaustive_cells_find_all_links(spark, monkeypatch):
+    """A family larger than a block is compared in cells, and each linked pair meets in one of them."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
     rng = np.random.default_rng(1)
-    n = 3 * minhash.BLOCK // 8
-    old = minhash.BLOCK
-    minhash.BLOCK = 128
-    try:
-        odd = rng.integers(-(2**62), 2**62, (n, 4))
-        odd[1::2] = odd[::2]
-        nodes = spark.createDataFrame(
-            [(i.to_bytes(2, "big"), [7 << 32] * 32, odd[i].tolist()) for i in range(n)],
-            "node binary, bands array<long>, odd array<long>",
-        )
-        buckets = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
-        labels = spark.createDataFrame([], "node binary, label binary")
-        pairs = minhash._every(buckets, labels, nodes, 10).collect()
-    finally:
-        minhash.BLOCK = old
-    assert {(bytes(p["a"]), bytes(p["b"])) for p in pairs} == {
-        (i.to_bytes(2, "big"), (i + 1).to_bytes(2, "big")) for i in range(0, n, 2)
+    rows = []
+    for i in range(0, 300, 2):
+        whole = np.sort(rng.integers(0, 2**62, 50, dtype=np.uint64))
+        for node, own in ((i, whole), (i + 1, whole[1:])):
+            sketch = minhash.odd_sketch(minhash.minhashes(own)).tolist()
+            rows.append((node.to_bytes(2, "big"), sketch, own.tobytes(), 7))
+    nodes = spark.createDataFrame(rows, "node binary, odd array<long>, shingles binary, bucket long")
+    labels = spark.createDataFrame([], "node binary, label binary")
+    links = minhash._every(
+        nodes.select("node", "bucket"), labels, nodes, nodes.select("node", "shingles"), minhash.Likeness(3, 85, 100)
+    ).collect()
+    assert {tuple(sorted((bytes(p["a"]), bytes(p["b"])))) for p in links} == {
+        (i.to_bytes(2, "big"), (i + 1).to_bytes(2, "big")) for i in range(0, 300, 2)
     }
 
 
@@ -438,7 +434,3 @@ def test_redaction(documents):
 def test_persons_without_python(documents):
     plan = contextual_pii.find(documents(PERSONS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-
-
-def test_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
