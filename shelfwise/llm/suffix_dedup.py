@@ -124,11 +124,12 @@ def suffix_array(data: np.ndarray, length: int) -> np.ndarray:
     equal prefixes are split by the ranks of what follows, the known prefix doubles, and single ones are left alone.
     The last step overlaps the one before it, so that no byte beyond `length` counts."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    # nine bits a byte, since the end of the data comes before every byte
+    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
-    known = min(8, length)
+    known = min(7, length)
     for i in range(known):
-        key = (key << np.uint64(8)) | padded[i : i + n]
+        key = (key << np.uint64(9)) | padded[i : i + n]
     order = np.argsort(key, kind="stable")
     ranks = np.empty(n + 1, np.int64)
     ranks[n] = -1

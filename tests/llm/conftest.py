@@ -15,7 +15,7 @@ DOCUMENTS = "doc_id long, text string"
 
 @pytest.fixture(scope="session", autouse=True)
 def shared(spark, tmp_path_factory):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")
