@@ -69,8 +69,8 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "sum of median step times",
-                "value": round(sum(times.values()), 3),
+                "metric": "sum of median step times, without the full run that repeats them",
+                "value": round(sum(t for name, t in times.items() if name != "full_run"), 3),
                 "unit": "sec",
                 "queries": times,
                 "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"),

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from shelfwise.config import Settings
 from shelfwise.plans.segmentation import run, segment
-from shelfwise.session import cut_lineage
+from shelfwise.session import cut_lineage, dropping_stored
 from shelfwise.sources.transactions import DATE_PATTERN, preview, read_transactions, write_recommendations
 
 
@@ -30,12 +30,13 @@ def main(arguments: list[str] | None = None) -> None:
     lines = read_transactions(
         spark, options.lines, date_pattern=options.date_pattern or DATE_PATTERN, multi_line=options.multi_line
     )
-    if options.output is None:
-        preview(segment(lines, settings).customers).show()
-        return
-    result = cut_lineage(run(lines, settings))
-    preview(result).show()
-    write_recommendations(result, options.output)
+    with dropping_stored(spark):
+        if options.output is None:
+            preview(segment(lines, settings).customers).show()
+            return
+        result = cut_lineage(run(lines, settings))
+        preview(result).show()
+        write_recommendations(result, options.output)
 
 
 if __name__ == "__main__":

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,36 +30,63 @@ def local_session(cores: int | str = "*", app: str = "shelfwise") -> SparkSessio
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+# what store() has made inside each open dropping_stored(): paths, or frames held by this session
+_made: list[list[str | DataFrame]] = []
+
+
+def configured_folder(spark: SparkSession) -> str | None:
+    """The folder every executor can reach, as the session names it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
-    Only a local session may fall back to a folder of this machine.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="shelfwise-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+
+def shared_folder(spark: SparkSession) -> str:
+    """That folder, or in a local session its warehouse."""
+    folder = configured_folder(spark)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/shelfwise"
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a result as a columnar table in the shared folder, for steps that
+    each read a few of its columns; a lost executor then costs a re-read
+    instead of all the work before it. A local session without such a folder
+    holds the rows itself."""
+    spark = df.sparkSession
+    if not configured_folder(spark) and spark.sparkContext.master.startswith("local"):
+        made: str | DataFrame = df.persist(StorageLevel.MEMORY_AND_DISK)
+        made.count()
+        out = made
+    else:
+        made = new_path(spark, name)
+        df.write.parquet(made)
+        out = spark.read.schema(df.schema).parquet(made)
+    if _made:
+        _made[-1].append(made)
+    return out
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a customer-grain result durably, so that a lost executor costs
-    a re-read instead of all the work before it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store a customer-grain result."""
+    return store(df, "customers")
 
 
-def store(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a line-grain result as a columnar table in the shared folder, for
-    steps that each read a few of its columns."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def dropping_stored(spark: SparkSession) -> Iterator[None]:
+    """Drops what was stored inside, once the results that need it are written."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for made in _made.pop():
+            if isinstance(made, str):
+                path = spark._jvm.org.apache.hadoop.fs.Path(made)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            else:
+                made.unpersist()

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from shelfwise.plans.oracles import ORACLES
+from shelfwise.plans.queries import QUERIES
 from shelfwise import __main__ as command
 from shelfwise.config import Settings
 from shelfwise.operators.features import feature_columns
@@ -20,7 +23,7 @@ SLOTS = [f"Rec{i}_{part}" for i in (1, 2, 3) for part in ("StockCode", "Descript
 
 def comparable(pdf):
     def one(value):
-        if value is None or value != value:
+        if value is None or value is pd.NA or value != value:
             return None
         if isinstance(value, (int, float)) or hasattr(value, "item"):
             return round(float(value), 6)
@@ -31,7 +34,7 @@ def comparable(pdf):
     return sorted(rows, key=lambda row: [(v is None, str(v)) for v in row])
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, small, name):
     found = entry.queries()[name](spark, small).toPandas()
     expected = duck.execute(entry.oracle_sql()[name]).df()
@@ -40,7 +43,7 @@ def test_query_equals_sql(spark, duck, small, name):
     assert comparable(found) == comparable(expected)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, small, name):
     assert entry.queries()[name](spark, small).count() > 0
 

@@ -3,12 +3,13 @@ from __future__ import annotations
 import csv
 import datetime
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from toy import settings
 
-from shelfwise.session import new_path, shared_folder
+from shelfwise.session import configured_folder, dropping_stored, new_path, shared_folder, store
 from shelfwise.sources import transactions as io
 
 HEADER = "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
@@ -86,8 +87,15 @@ def test_preview_and_sample(spark):
     assert io.sample_rows(df.limit(4)).count() == 4
 
 
-def test_shared_folder_is_the_checkpoint_folder(spark):
-    assert shared_folder(spark) == spark.sparkContext.getCheckpointDir() == shared_folder(spark)
+def test_stored_tables_are_dropped(spark):
+    if not configured_folder(spark):
+        spark.sparkContext.setCheckpointDir(shared_folder(spark).removeprefix("file:"))
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with dropping_stored(spark):
+        kept = store(spark.range(10), "kept")
+        assert kept.count() == 10 and set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
 
 
 def test_a_cluster_must_name_its_folder():
