@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from shelfwise.llm.storage import stored
 CAPACITY = 2048
 END = 1
 RANK_GROUP = 256  # pieces that are ranked together
+LATIN = "\u0250"  # characters before it are of old in every table of character classes
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -29,14 +34,37 @@ def encoder(path: str) -> ChunkEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        ranks = _by_ranks(path)
 
         def encode(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if ranks is not None and max(text) < LATIN and "<|" not in text:
+                ids = ranks.encode_ordinary(text)
+            else:
+                ids = tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
 
         _encoders[path] = ChunkEncoder(encode)
     return _encoders[path]
 
 
+def _by_ranks(path: str) -> tiktoken.Encoding | None:
+    """The same merges as ranks, if the file numbers its tokens in the order of its merges. That library is several
+    times faster on short strings; both split Latin letters, digits and marks alike."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary = model["vocab"]
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    if any(vocabulary.get(m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)):
+        return None
+    # printable bytes stand for themselves, the others for the characters from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding(
+        "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+
+
 def pieces(
     docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
     end: int = END, keep_ids: bool = True,
