@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,9 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.arrow import map_slices
-from shelfwise.llm.chunks import ChunkEncoder
+from shelfwise.llm.chunks import ChunkEncoder, Kept
 
-STATES = 200_000  # the transducer starts anew beyond
+OFTEN = 4  # times that a step is met before it is made
+STATES = 60_000  # the transducer starts anew beyond, or beyond so many steps that are only met
+MET = 250_000
+PAIRS = 400_000  # of tokens whose agreement is kept
+CHUNKS = 500_000  # whose ids are kept, and as many pieces
 DECODE_STEP = 4096  # ids
 
 
@@ -26,14 +31,15 @@ class Transducer:
     last token where it begins. Tokens still to come can only begin where a token's prefix is open. A state is that
     open prefix (a node of the trie of tokens with fallbacks), the last tokens at the places from which an encoding
     may go on, and the token before them. What all of these share is certain and is put out at once; a token waits for
-    the bytes that the longest token may still take. States and steps are made when met a second time; what is new is
-    read place by place, by the same rule.
+    the bytes that the longest token may still take. States and steps are made when met some times; what is new is read
+    place by place, by the same rule.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.size = max(ranks.values()) + 1
+        self.agree: dict[int, bool] = {}  # by left * size + right
         self.suffixes: dict[int, tuple[tuple[tuple[int, int], ...], tuple[int, ...]]] = {}
         self._build_trie()
         self._forget()
@@ -44,7 +50,7 @@ class Transducer:
         self.states = [start]
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.ends: list[tuple[int, ...] | None] = [None]
-        self.met: set[tuple[int, int]] = set()
+        self.met: dict[tuple[int, int], int] = {}
 
     def _build_trie(self) -> None:
         self.children: list[dict[int, int]] = [{}]
@@ -90,12 +96,12 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def _agrees(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        if pair not in self.agree:
-            if len(self.agree) > 4 * STATES:
-                self.agree.clear()
-            self.agree[pair] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-        return self.agree[pair]
+        """Whether the two tokens stay as they are when their bytes are encoded together."""
+        if len(self.agree) > PAIRS:
+            self.agree.clear()
+        same = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        self.agree[left * self.size + right] = same
+        return same
 
     def _suffixes(self, node: int) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...]]:
         """Of the suffixes that are nodes: those that are tokens, longest first, as (size, token), and the sizes of
@@ -114,16 +120,19 @@ class Transducer:
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Places are counted back from the end of what is read: (place, last token, place where it begins)."""
-        node, certain, before, entries = self.states[number]
+        node, certain, earlier, entries = self.states[number]
         node = self._next(node, byte)
         certain += 1
         at = {place + 1: (token, begin + 1) for place, token, begin in entries}
-        at[certain] = (before, -1)
+        at[certain] = (earlier, -1)
         tokens, sizes = self._suffixes(node)
         for size, token in tokens:
-            if size in at and (at[size][0] < 0 or self._agrees(at[size][0], token)):
-                at[0] = (token, size)
-                break
+            if size in at:
+                before = at[size][0]
+                same = before < 0 or self.agree.get(before * self.size + token)
+                if self._agrees(before, token) if same is None else same:
+                    at[0] = (token, size)
+                    break
         # from each place where a token may begin back to the place that all of them have passed
         passed: dict[int, int] = {}
         places = [p for p in sizes if p in at]
@@ -163,22 +172,22 @@ class Transducer:
 
     def _by_places(self, data: bytes) -> list[int]:
         """Without states: the last token at each place, then back from the end."""
-        last, sizes, node = [-1], [0], 0
-        children, agree = self.children, self.agree
+        last, sizes, node, at = [-1], [0], 0, 0
+        children, suffixes, agree, size_of_ids = self.children, self.suffixes, self.agree, self.size
         for byte in data:
             below = children[node].get(byte)
             node = self._next(node, byte) if below is None else below
-            at = len(last)
-            for size, token in (self.suffixes.get(node) or self._suffixes(node))[0]:
+            at += 1
+            for size, token in (suffixes.get(node) or self._suffixes(node))[0]:
+                if size == at:
+                    break
                 before = last[at - size]
-                if before < 0 if size == at else before >= 0:
-                    if before < 0 or (
-                        agree[before, token] if (before, token) in agree else self._agrees(before, token)
-                    ):
-                        break
+                same = agree.get(before * size_of_ids + token)
+                if self._agrees(before, token) if same is None else same:
+                    break
             last.append(token)
             sizes.append(size)
-        out, at = [], len(data)
+        out = []
         while at:
             out.append(last[at])
             at -= sizes[at]
@@ -188,14 +197,15 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES or len(self.met) > 4 * STATES:
+        if len(self.states) > STATES or len(self.met) > MET:
             self._forget()
         number, out, steps = 0, [], self.steps
         for byte in data:
             step = steps[number].get(byte)
             if step is None:
-                if (number, byte) not in self.met:
-                    self.met.add((number, byte))
+                times = self.met.get((number, byte), 0) + 1
+                if times < OFTEN:
+                    self.met[number, byte] = times
                     return self._by_places(data)
                 step = self._step(number, byte)
             number = step[0]
@@ -246,34 +256,51 @@ class Utf8Machine:
         return text
 
 
-class Codec:
-    """Encoder and decoder for one rank file; one for each process."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+class Encoder:
+    """Ids of texts by one rank file; one for each process."""
 
-    known: dict[tuple[str, str], Codec] = {}
+    known: dict[tuple[str, str], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str, pattern: str) -> Codec:
+    def of(cls, path: str, pattern: str) -> Encoder:
         if (path, pattern) not in cls.known:
             cls.known[path, pattern] = cls(path, pattern)
         return cls.known[path, pattern]
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.transducer = Transducer(ranks)
-        self.pieces = regex.compile(pattern)
-        self.chunks = ChunkEncoder(self._chunk)
-        self.tokens = [self.transducer.tokens.get(i, b"") for i in range(max(ranks.values()) + 1)]
-
-    def _chunk(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces.findall(text):
-            ids += self.transducer.encode(piece.encode())
-        return np.array(ids, "<u4").tobytes()
+        self.transducer = Transducer(read_ranks(path))
+        self.split = regex.compile(pattern).findall
+        self.pieces = Kept(lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes(), CHUNKS)
+        self.chunks = ChunkEncoder(
+            lambda text: b"".join(map(self.pieces.__getitem__, self.split(text))), CHUNKS
+        )
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.chunks.encode(text), "<u4").astype(np.int32)
 
+
+class Decoder:
+    """Texts of ids by one rank file; one for each process."""
+
+    known: dict[str, Decoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Decoder:
+        if path not in cls.known:
+            cls.known[path] = cls(path)
+        return cls.known[path]
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as far as it is certain, after each few thousand ids."""
         machine, ids = Utf8Machine(), list(ids)
@@ -288,22 +315,22 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = Codec.of(path, pattern)
-        ids = [codec.encode(x or "") for x in batch.column("text").to_pylist()]
+        encoder = Encoder.of(path, pattern)
+        ids = [encoder.encode(x or "") for x in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
     return map_slices(rows, "text", run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(row, ids, decoded): adds the text of `ids`; null ids are none."""
 
     def run(batches):
-        codec = Codec.of(path, pattern)
+        decoder = Decoder.of(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = ["".join(codec.decode(x or ())) for x in part.column("ids").to_pylist()]
+                texts = ["".join(decoder.decode(x or ())) for x in part.column("ids").to_pylist()]
                 arrays = [part.column("row"), part.column("ids"), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "ids", "decoded"])
 

@@ -20,11 +20,11 @@ CACHE = 1_000_000
 class Kept(dict):
     """Values by chunk, made when they are first asked for; emptied when full."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE):
+        self.make, self.most = make, most
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         value = self[chunk] = self.make(chunk)
         return value
@@ -33,9 +33,9 @@ class Kept(dict):
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, by an encoder of strings."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.plain = Kept(encode)
-        self.spaced = Kept(lambda word: encode(" " + word))
+    def __init__(self, encode: Callable[[str], bytes], most: int = CACHE):
+        self.plain = Kept(encode, most)
+        self.spaced = Kept(lambda word: encode(" " + word), most)
 
     def parts(self, text: str) -> Iterator[bytes]:
         even = text and not (
