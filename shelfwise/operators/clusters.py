@@ -18,7 +18,7 @@ from shelfwise.functions.columns import squared_distance
 
 KEY = "CustomerID"
 FITS_AT_A_TIME = 10
-PARTITIONS = 8  # of the points, whatever their number; two at least
+PARTITIONS = 2  # of the points, whatever their number; two at least
 TOLERANCE = 1e-4  # of the mean variance, for the squared move of all centroids
 
 

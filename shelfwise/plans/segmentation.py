@@ -55,7 +55,13 @@ def segment(lines: DataFrame, settings: Settings = Settings()) -> Segmentation:
     reduced = fit_components(scaled, columns, settings.components).transform(scaled)
     axes = [c for c in reduced.columns if c != "CustomerID"]
     centroids, _ = fit_centroids(
-        reduced, axes, settings.clusters, settings.starts, settings.max_iterations, settings.seed
+        reduced,
+        axes,
+        settings.clusters,
+        settings.starts,
+        settings.max_iterations,
+        settings.seed,
+        settings.cluster_partitions,
     )
     components = cut_lineage(relabel(assign(reduced, axes, centroids), settings.label_map))
     return Segmentation(
