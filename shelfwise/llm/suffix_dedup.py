@@ -164,12 +164,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     """For each place of the order, the common prefix of its suffix and the one before it, up to `limit`.
 
     By Kasai's rule a suffix whose predecessor in the order is the next of its left neighbour's has one byte less in
-    common; only the others are compared, eight bytes at a time."""
+    common, if the left neighbours share their first byte; only the others are compared, eight bytes at a time."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     follows = np.zeros(n, bool)
-    follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (data[:-1] == data[before[:-1]])
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     words = np.zeros(n + 1, np.uint64)
     for i in range(8):
@@ -190,7 +190,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
         own[ended] = tail + _same_bytes(data, ended + tail, before[ended] + tail)
         at, size = at[same], size[same] + 8
     start = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
-    prefix = np.maximum(own[start] - (np.arange(n) - start), 0)
+    prefix = own[start] - (np.arange(n) - start)
     return np.minimum(prefix, limit)[order]
 
 

@@ -225,6 +225,29 @@ def test_suffix_array_and_prefixes():
             assert p == common
 
 
+def test_prefixes_after_neighbours_that_differ():
+    rng = random.Random(2)
+    for letters in range(3, 9):
+        for _ in range(40):
+            text = bytes(rng.randrange(97, 97 + letters) for _ in range(rng.randint(2, 80)))
+            data, length = np.frombuffer(text, np.uint8), rng.randint(1, 12)
+            order = suffix_dedup.suffix_array(data, length)
+            prefixes = suffix_dedup.common_prefixes(data, order, length)
+            for a, b, p in zip(order, order[1:], prefixes[1:]):
+                x, y = text[a : a + length], text[b : b + length]
+                assert p == next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+
+
+def test_copies_after_neighbouring_bytes_are_repeats(documents):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(450))
+    parts = [f"7{passage}".encode(), f"8{passage}".encode()]
+    segment, offset, _, repeated = suffix_dedup.repeated_starts(parts, 400)
+    assert sorted(zip(segment[repeated], offset[repeated])) == [(i, k) for i in (0, 1) for k in range(1, 52)]
+    rows = suffix_dedup.remove_repeats(documents([p.decode() for p in parts])).collect()
+    assert sorted(bytes(r["kept"]) for r in rows) == [b"7", b"8"]
+
+
 def test_cut_repeats_leaves_whole_characters(documents):
     docs = documents(["ä" + "é" * 30, "ö" + "é" * 30, None, "clean"])
     got = [r["text"] for r in suffix_dedup.cut_repeats(docs, suffix_dedup.Repeats(21)).orderBy("doc_id").collect()]
