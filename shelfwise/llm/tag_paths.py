@@ -55,17 +55,18 @@ class Block:
 
     path: str
     outside: bool
-    article: int
+    article: bool
     parts: list[str] = field(default_factory=list)
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Ratios are smoothed over the blocks within `reach`, and a path is content if its fused ratio reaches `share` of
-    the mean by text."""
+    """Ratios are smoothed over the blocks within `reach`, those under an article count `article` times, and a path is
+    content if its fused ratio reaches `share` of the mean by text."""
 
     reach: int = 1
     share: float = 0.25
+    article: float = 1.5
 
 
 def _words(attributes: str) -> set[str]:
@@ -78,10 +79,10 @@ def _words(attributes: str) -> set[str]:
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text in page order, each with the path of open elements; raw text, markup and comments are gone."""
-    stack: list[tuple[str, bool, int]] = []  # name, outside, number of the innermost article
+    stack: list[tuple[str, bool, bool]] = []  # name, outside, under an article
     out: list[Block] = []
     current: Block | None = None
-    articles = at = 0
+    at = 0
 
     def text(raw: str) -> None:
         nonlocal current
@@ -89,7 +90,7 @@ def blocks(page: str) -> list[Block]:
             return
         if current is None:
             path = "/".join(name for name, _, _ in stack if name not in INLINE)
-            current = Block(path, stack[-1][1] if stack else False, stack[-1][2] if stack else 0)
+            current = Block(path, *(stack[-1][1:] if stack else (False, False)))
             out.append(current)
         if stack and stack[-1][1] and not current.outside:
             return  # an inline element may be outside too
@@ -132,10 +133,7 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or m[0].endswith("/>"):
             continue
         outside = (stack[-1][1] if stack else False) or name in OUTSIDE or bool(_words(m[3]) & OUTSIDE_WORDS)
-        article = stack[-1][2] if stack else 0
-        if name in ARTICLE and not outside:
-            articles += 1
-            article = article or articles
+        article = (stack[-1][2] if stack else False) or (name in ARTICLE and not outside)
         # a header inside the article heads the article
         if name == "header" and article and not (stack[-1][1] if stack else False):
             outside = False
@@ -152,8 +150,8 @@ def _smoothed(values: np.ndarray, reach: int) -> np.ndarray:
 
 def content(page: str | None, weights: Weights = Weights()) -> list[str]:
     """The blocks of the main text. By path: characters and punctuation marks for each block, smoothed in page order and
-    fused into one ratio. Paths reaching the threshold are content; where the page marks an article, the one with the
-    highest total ratio is taken whole, so that its short headings stay too."""
+    fused into one ratio, in which a marked article weighs more. Paths reaching the threshold are content, and so are the
+    headings between them."""
     found = []
     for block in blocks(page or ""):
         value = SPACE.sub(" ", html.unescape("".join(block.parts))).strip()
@@ -168,19 +166,15 @@ def content(page: str | None, weights: Weights = Weights()) -> list[str]:
     text_ratio = (np.bincount(which, size) / count)[which]
     mark_ratio = (np.bincount(which, marks) / count)[which]
     fused = _smoothed(text_ratio, weights.reach) * (1 + _smoothed(mark_ratio, weights.reach))
+    fused *= np.where([b.article for b, _ in found], weights.article, 1.0)
     by_path = np.bincount(which, fused * size) / np.bincount(which, size)
     threshold = weights.share * (by_path[which] * size).sum() / size.sum()
     chosen = by_path[which] >= threshold
-    article = np.array([b.article for b, _ in found])
-    if article.any():
-        totals = np.bincount(article, np.where(article > 0, fused * size, 0))
-        chosen = article == totals.argmax()
-    else:
-        # headings between chosen blocks belong to them
-        first, last = np.flatnonzero(chosen)[[0, -1]]
-        heading = np.array([b.path.rpartition("/")[2] in ("h1", "h2", "h3", "h4", "h5", "h6") for b, _ in found])
-        places = np.arange(len(found))
-        chosen |= heading & (places >= first - 1) & (places <= last)
+    # headings between chosen blocks belong to them
+    first, last = np.flatnonzero(chosen)[[0, -1]]
+    heading = np.array([b.path.rpartition("/")[2] in ("h1", "h2", "h3", "h4", "h5", "h6") for b, _ in found])
+    places = np.arange(len(found))
+    chosen |= heading & (places >= first - 1) & (places <= last)
     return [value for (_, value), keep in zip(found, chosen, strict=True) if keep]
 
 

@@ -66,6 +66,19 @@ def test_pages_that_lack_something(spark):
     assert tag_paths.extract(rows.limit(0)).count() == 0
 
 
+LONG = "A long paragraph, with many words; and then some more of them, up to the end."
+
+
+def test_ratios_decide_whatever_is_marked():
+    text = f"<p>{LONG}</p><p>{LONG}</p>"
+    kept = [LONG, LONG]
+    assert tag_paths.content(f"<div>{text}</div><article><b>More</b></article>") == kept
+    assert tag_paths.content(f"<article>{text}</article><article>{text}</article>") == kept * 2
+    assert tag_paths.content(f"<body><h1>Head</h1><p>{LONG}</p><article>{text}</article>") == ["Head", LONG, *kept]
+    links = "<ul><li><a>One</a></li><li><a>Two</a></li></ul>"
+    assert tag_paths.content(f"<main>{text}<h2>On</h2>{text}{links}<p>{LONG}</p></main>") == [*kept, "On", *kept, LONG]
+
+
 def read_warc(data):
     while data:
         head, _, rest = data.partition(b"\r\n\r\n")
