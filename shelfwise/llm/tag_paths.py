@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ CLOSES = {
     "th": {"td", "th"}, "option": {"option"},
 }
 SCOPE = frozenset("html body table ul ol dl div section article main aside nav header footer form select".split())
-# what isn't the article, by element or by a word of its class, id or role
+# what isn't the article, by element; what may not be, by a word of its class, id or role
 OUTSIDE = frozenset("nav header footer aside form button select dialog svg math object video audio canvas menu head".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie "
@@ -47,41 +48,57 @@ OUTSIDE_WORDS = frozenset(
     "subscribe toolbar widget".split()
 )
 ARTICLE = frozenset("article main".split())
+UNMARKED = frozenset("html body article main".split())
+
+
+class Open(NamedTuple):
+    """An open element; `mark` numbers the innermost element with an outside word that it stands in."""
+
+    name: str = ""
+    outside: bool = False
+    article: bool = False
+    mark: int = 0
 
 
 @dataclass
 class Block:
-    """Text between two block borders, under one path."""
+    """Text between two block borders, under one path; `under` is its nearest block element, and each part has the
+    mark of the innermost element around it."""
 
     path: str
-    outside: bool
-    article: bool
-    parts: list[str] = field(default_factory=list)
+    under: Open
+    parts: list[tuple[str, int]] = field(default_factory=list)
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Ratios are smoothed over the blocks within `reach`, those under an article count `article` times, and a path is
-    content if its fused ratio reaches `share` of the mean by text."""
+    """Ratios are smoothed over the blocks within `reach`, those under an article count `article` times, those under
+    an outside word `marked` times, or `hinted` times if it is only part of a name, and a path is content if its fused
+    ratio reaches `share` of the mean by text of what no such word marks."""
 
     reach: int = 1
     share: float = 0.25
     article: float = 1.5
+    marked: float = 0.05
+    hinted: float = 0.2
 
 
-def _words(attributes: str) -> set[str]:
-    found: set[str] = set()
-    for name, value in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
-            found.update(re.split(r"[^a-z]+", value.lower()))
-    return found
+def _outside_word(attributes: str) -> bool | None:
+    """Whether an outside word stands alone in the class, id or role; None if there is none."""
+    names = [v.strip("\"'").lower().split() for k, v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id", "role")]
+    names = {x for some in names for x in some}
+    if names & OUTSIDE_WORDS:
+        return True
+    return False if any(OUTSIDE_WORDS.intersection(re.split(r"[^a-z]+", x)) for x in names) else None
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, each with the path of open elements; raw text, markup and comments are gone."""
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, under an article
+def blocks(page: str) -> tuple[list[Block], list[tuple[int, bool]]]:
+    """Blocks of text in page order, each with the path of open elements; raw text, markup and comments are gone. Of
+    each mark the one around it, and whether the word stands alone; the first is none."""
+    stack: list[Open] = []
     out: list[Block] = []
     current: Block | None = None
+    marked = [(0, False)]
     at = 0
 
     def text(raw: str) -> None:
@@ -89,12 +106,10 @@ def blocks(page: str) -> list[Block]:
         if not raw:
             return
         if current is None:
-            path = "/".join(name for name, _, _ in stack if name not in INLINE)
-            current = Block(path, *(stack[-1][1:] if stack else (False, False)))
+            around = [x for x in stack if x.name not in INLINE]
+            current = Block("/".join(x.name for x in around), around[-1] if around else Open())
             out.append(current)
-        if stack and stack[-1][1] and not current.outside:
-            return  # an inline element may be outside too
-        current.parts.append(raw)
+        current.parts.append((raw, stack[-1].mark if stack else 0))
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -113,10 +128,10 @@ def blocks(page: str) -> list[Block]:
             current = None
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     del stack[i:]
                     break
-                if stack[i][0] in SCOPE and (name in INLINE or name in ("p", "li")):
+                if stack[i].name in SCOPE and (name in INLINE or name in ("p", "li")):
                     break
             continue
         if name in RAW:
@@ -125,20 +140,26 @@ def blocks(page: str) -> list[Block]:
             continue
         closes = CLOSES.get(name) or ({"p"} if name in CLOSES_P else set())
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in closes:
+            if stack[i].name in closes:
                 del stack[i:]
                 break
-            if stack[i][0] in SCOPE:
+            if stack[i].name in SCOPE:
                 break
         if name in VOID or m[0].endswith("/>"):
             continue
-        outside = (stack[-1][1] if stack else False) or name in OUTSIDE or bool(_words(m[3]) & OUTSIDE_WORDS)
-        article = (stack[-1][2] if stack else False) or (name in ARTICLE and not outside)
+        above = stack[-1] if stack else Open()
+        outside, mark = above.outside or name in OUTSIDE, above.mark
+        article = above.article or (name in ARTICLE and not outside)
         # a header inside the article heads the article
-        if name == "header" and article and not (stack[-1][1] if stack else False):
+        if name == "header" and article and not above.outside:
             outside = False
-        stack.append((name, outside, article))
-    return out
+        elif name == "main":
+            mark = 0
+        elif name not in UNMARKED and (alone := _outside_word(m[3])) is not None:
+            marked.append((mark, alone))
+            mark = len(marked) - 1
+        stack.append(Open(name, outside, article, mark))
+    return out, marked
 
 
 def _smoothed(values: np.ndarray, reach: int) -> np.ndarray:
@@ -148,33 +169,59 @@ def _smoothed(values: np.ndarray, reach: int) -> np.ndarray:
     return np.convolve(padded, weights / weights.sum(), "valid")
 
 
+def _levels(inside: list[Block], marked: list[tuple[int, bool]]) -> list[int]:
+    """Of each mark: 1 if the words in it and around it are parts of names, 2 if one stands alone. 0 if it holds most of
+    the text, and most of what stands under an article if there is any."""
+    held = np.zeros((len(marked), 2), np.int64)
+    for block in inside:
+        for raw, mark in block.parts:
+            held[mark] += len(raw.strip()) * np.array([1, block.under.article])
+    total = held.sum(axis=0)
+    levels = [0] * len(marked)
+    for mark in range(len(marked) - 1, 0, -1):
+        if marked[mark][0]:
+            held[marked[mark][0]] += held[mark]
+    for mark, (around, alone) in enumerate(marked[1:], 1):
+        most = 2 * held[mark, 0] > total[0] and 2 * held[mark, 1] >= total[1]
+        levels[mark] = 0 if most else max(1 + alone, levels[around])
+    return levels
+
+
 def content(page: str | None, weights: Weights = Weights()) -> list[str]:
     """The blocks of the main text. By path: characters and punctuation marks for each block, smoothed in page order and
-    fused into one ratio, in which a marked article weighs more. Paths reaching the threshold are content, and so are the
-    headings between them."""
+    fused into one ratio, in which an article weighs more, and less what an outside word marks, unless that holds most of
+    the page. Paths reaching the threshold are content, and so are the headings between them."""
+    every, marked = blocks(page or "")
+    inside = [b for b in every if not b.under.outside]
+    levels = _levels(inside, marked)
     found = []
-    for block in blocks(page or ""):
-        value = SPACE.sub(" ", html.unescape("".join(block.parts))).strip()
-        if value and not block.outside:
+    for block in inside:
+        # what only an inline element marks is left out
+        parts = [raw for raw, mark in block.parts if mark == block.under.mark or not levels[mark]]
+        value = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        if value:
             found.append((block, value))
     if not found:
         return []
-    paths, which = np.unique([b.path for b, _ in found], return_inverse=True)
+    level = np.array([levels[b.under.mark] for b, _ in found])
+    paths = [f"{b.path} {k}" for (b, _), k in zip(found, level, strict=True)]
+    which = np.unique(paths, return_inverse=True)[1]
     size = np.array([len(v) for _, v in found], float)
     marks = np.array([len(PUNCTUATION.findall(v)) for _, v in found], float)
     count = np.bincount(which)
     text_ratio = (np.bincount(which, size) / count)[which]
     mark_ratio = (np.bincount(which, marks) / count)[which]
     fused = _smoothed(text_ratio, weights.reach) * (1 + _smoothed(mark_ratio, weights.reach))
-    fused *= np.where([b.article for b, _ in found], weights.article, 1.0)
+    fused *= np.where([b.under.article for b, _ in found], weights.article, 1.0) * np.array([1.0, weights.hinted, weights.marked])[level]
     by_path = np.bincount(which, fused * size) / np.bincount(which, size)
-    threshold = weights.share * (by_path[which] * size).sum() / size.sum()
+    usual = level == level.min()
+    threshold = weights.share * (by_path[which] * size)[usual].sum() / size[usual].sum()
     chosen = by_path[which] >= threshold
     # headings between chosen blocks belong to them
     first, last = np.flatnonzero(chosen)[[0, -1]]
     heading = np.array([b.path.rpartition("/")[2] in ("h1", "h2", "h3", "h4", "h5", "h6") for b, _ in found])
     places = np.arange(len(found))
-    chosen |= heading & (places >= first - 1) & (places <= last)
+    chosen |= heading & (level == 0) & (places >= first - 1) & (places <= last)
     return [value for (_, value), keep in zip(found, chosen, strict=True) if keep]
 
 

@@ -79,6 +79,27 @@ def test_ratios_decide_whatever_is_marked():
     assert tag_paths.content(f"<main>{text}<h2>On</h2>{text}{links}<p>{LONG}</p></main>") == [*kept, "On", *kept, LONG]
 
 
+def test_outside_words_only_weigh():
+    text = f"<p>{LONG}</p><p>{LONG}</p>"
+    kept = [LONG, LONG]
+    for around in (
+        "<body class='has-sidebar'>%s</body>",
+        "<div id='content-sidebar-wrap'>%s</div>",
+        "<div class='page-with-sidebar'><article>%s</article></div>",
+        "<article class='post has-comments'>%s</article>",
+        "<main class='search'>%s</main>",
+        "<div class='sidebar-left'><main>%s</main></div>",
+    ):
+        assert tag_paths.content(around % text) == kept, around
+        beside = f"{text}<div class='comments'><p>No, a comment.</p></div><p class='share'>Share, share.</p>"
+        assert tag_paths.content(around % beside) == kept, around
+    comments = "<div class='comments'><p>No, a comment.</p><p>And one more.</p></div>" * 4
+    assert tag_paths.content(f"<article>{text}</article>{comments}") == kept
+    beside = f"<article><p>A teaser, a short one.</p></article><div class='post has-sidebar'>{text}</div>"
+    assert tag_paths.content(beside)[-2:] == kept
+    assert tag_paths.content(f"<p><a class='social'>x</a> {LONG}</p><p>{LONG} <a class='social'>x</a></p>") == kept
+
+
 def read_warc(data):
     while data:
         head, _, rest = data.partition(b"\r\n\r\n")
