@@ -9,15 +9,20 @@ import html
 import random
 import re
 import uuid
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shelfwise.llm import tag_paths, topk, warc
+from shelfwise.llm import quality, tag_paths, topk, warc
 from shelfwise.llm.queries import QUERIES
 from shelfwise.llm.sql import ORACLES
 
+from .test_documents import PII, WORD, plain_components, plain_quality, plain_removed
+
 SMALL = "/root/testdata/sf0.001"
 
 # --------------------------------------------------------------------- pages
@@ -225,6 +230,99 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == before
 
 
+def plainly_good(text):
+    n, chars, symbols, doubled, _, failed = plain_quality(text)
+    if failed:
+        return False
+    words = WORD.findall(text)
+    lines = sum(1 for x in text.split("\n") if WORD.search(x))
+    return (
+        2 <= chars / n <= 15
+        and symbols / n <= 0.2
+        and len(re.findall("[A-Z]", text)) / chars <= 0.5
+        and sum(w in quality.STOP_WORDS for w in words) / n >= 0.02
+        and doubled / lines <= 0.5
+        and sum(a == b for a, b in zip(words, words[1:])) / n <= 0.3
+    )
+
+
+def plainly_redacted(values):
+    """Known kinds, and what stands behind two words that mostly come before known instances."""
+    base, mentions = [], []
+    for text in values:
+        known = [
+            (m.start(), k, m.end(), m[0])
+            for k, (regex, holds) in enumerate(PII.values()) for m in re.finditer(regex, text) if holds(m[0])
+        ]
+        found = [
+            (m.start(), 4, m.end(), m[0])
+            for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z/_-]{0,8}+[0-9][A-Za-z0-9/_-]{5,}", text)
+            if not any(s < m.end() and m.start() < e for s, _, e, _ in known)
+        ]
+        base.append(known)
+        both = [(x, re.search(r"(\S+\s+\S+)\s*$", text[max(0, x[0] - 48) : x[0]], re.A)) for x in known + found]
+        mentions.append([(x, m[1].lower()) for x, m in both if m])
+    edges = {(pattern, x[3]) for own in mentions for x, pattern in own}
+    seeds = {x[3] for own in mentions for x, _ in own if x[1] < 4}
+    score = {x: float(x in seeds) for _, x in edges}
+    for _ in range(3):
+        behind = {p: [score[x] for q, x in edges if q == p] for p, _ in edges}
+        share = {p: sum(v) / len(v) for p, v in behind.items() if sum(x >= 0.8 for x in v) >= 3}
+        for x in score.keys() - seeds:
+            score[x] = 1 - float(np.prod([max(1 - share[p], 1e-9) for p, y in edges if y == x and p in share]))
+    out = []
+    for text, known, own in zip(values, base, mentions, strict=True):
+        spans = known + [x for x, pattern in own if x[1] == 4 and share.get(pattern, 0) >= 0.8]
+        parts, at = [], 0
+        for s, k, e, _ in sorted(spans):
+            if s >= at:
+                parts += [text[at:s], "[" + [*PII, "found"][k].upper() + "]"]
+            at = max(at, e)
+        out.append("".join(parts) + text[at:])
+    return out
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    rng = random.Random(4)
+    words = "the of and river mill wheel market village stone bridge winter garden paper window letter road".split()
+
+    def prose(n):
+        return " ".join(rng.choice(words) + rng.choice(["", "s", "er", "ing"]) for _ in range(n))
+
+    passage, twin = prose(60), "the " + prose(80)
+    planted = [f"{prose(30)} customer contact user{i}@mail.example.org and {prose(40)} the {passage}" for i in range(8)]
+    planted += [f"the {prose(70)} customer contact X-48213-77 today", f"of {prose(70)} shop 48213-77777"]
+    planted += [twin, twin + " and", "the # " * 40, f"7{passage} of the", f"8{passage} of the"]
+    given = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [{**given.first().asDict(), "doc_id": 10**6 + i, "text": t, "n_chars": len(t)} for i, t in enumerate(planted)]
+    given.union(spark.createDataFrame(rows, given.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+
+    good = [(i, t) for i, t in docs if plainly_good(t or "")]
+    ids, values = map(list, zip(*good, strict=True))
+    stands = plain_components(values, ids, 5, 80, 100)
+    single = [(i, t) for (i, t), (_, first) in zip(good, stands, strict=True) if first == i]
+    removed = plain_removed([t for _, t in single], 200)
+    cut = [kept.decode("utf-8", "ignore") for *_, kept in removed]
+    clean = plainly_redacted(cut)
+    assert len(docs) > len(good) > len(single) and any(gone for _, gone, _, _ in removed)
+    assert clean != cut and any("[FOUND]" in t for t in clean)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for (i, _), text in zip(single, clean, strict=True):
+        tokens = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        for at in range(0, len(tokens), 2048):
+            part = tokens[at : at + 2048]
+            want.append((i, at, len(part), zlib.crc32(part.tobytes()), len(tokens)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == sorted(want)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048 and sorted(ends) == list(range(len(ends)))
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet(f"{SMALL}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
