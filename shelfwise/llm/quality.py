@@ -18,6 +18,8 @@ STOP_WORDS = (
     "le la les de et un une du que est en pour dans qui sur par "
     "el los las y del se por con para al no lo su"
 ).split()
+LISTED = ("en", "de", "fr", "es")  # languages whose stop words these are
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¿¡«»„“”‚‘’…–—"
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,9 @@ def _gone(text: Column, characters: str) -> Column:
     return F.when(text.rlike(f"[{characters}]"), F.length(text) - left).otherwise(0)
 
 
-def _text_counts(df: DataFrame, text: str) -> DataFrame:
-    """Adds what is counted in the text, its words and its lines, and the hashes of the words."""
+def _text_counts(df: DataFrame, text: str, loose: bool) -> DataFrame:
+    """Adds what is counted in the text, its words and its lines, and the hashes of the words. Stop words are found as
+    they are written, or `loose` in any case and with marks around them."""
     kept = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
     bare = F.btrim(t, F.lit(SPACE))
@@ -69,7 +72,9 @@ def _text_counts(df: DataFrame, text: str) -> DataFrame:
         "__capitals",
         F.size("__words").cast("long").alias("__n_words"),
         F.length(F.concat_ws("", "__words")).cast("long").alias("__word_chars"),
-        F.size(F.filter("__words", lambda w: w.isin(STOP_WORDS))).alias("__stops"),
+        F.size(
+            F.filter("__words", lambda w: (F.btrim(F.lower(w), F.lit(MARKS)) if loose else w).isin(STOP_WORDS))
+        ).alias("__stops"),
         F.size("__lines").cast("long").alias("__n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
         F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
@@ -112,13 +117,13 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.select(*kept, covered.cast("long").alias("__repeated"))
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
+def measures(df: DataFrame, text: str = "text", loose: bool = False) -> DataFrame:
     """`df` with counts and ratios of every whole text; a null text counts as empty, and ratios of nothing are 0.
 
     Columns of `df` under the names of the new ones are replaced; names that start with two underscores are reserved.
     """
     columns = df.columns
-    df = _repeat_words(_text_counts(df, text))
+    df = _repeat_words(_text_counts(df, text, loose))
     words, chars = F.greatest(F.col("__n_words"), F.lit(1)), F.greatest(F.col("__word_chars"), F.lit(1))
     new = {
         "n_words": F.col("__n_words"),
@@ -136,14 +141,15 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*[c for c in columns if c not in new], *[c.alias(k) for k, c in new.items()])
 
 
-def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """True where every rule holds."""
+def verdict(rules: tuple[Rule, ...] = RULES, listed: Column | None = None) -> Column:
+    """True where every rule holds; that on stop words binds where the language is `listed`, everywhere if not given."""
     ok = F.lit(True)
     for rule in rules:
+        free = F.lit(False) if listed is None or rule.measure != "stop_word_ratio" else ~listed
         if rule.least is not None:
-            ok = ok & (F.col(rule.measure) >= rule.least)
+            ok = ok & (free | (F.col(rule.measure) >= rule.least))
         if rule.most is not None:
-            ok = ok & (F.col(rule.measure) <= rule.most)
+            ok = ok & (free | (F.col(rule.measure) <= rule.most))
     return ok
 
 
@@ -166,13 +172,21 @@ def assess(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     )
 
 
-def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with the columns they came with."""
+def keep_good(
+    df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, language: str = "lang"
+) -> DataFrame:
+    """The rows that pass, with the columns they came with. Where a column names the language, the rule on stop words
+    binds only texts in a language whose stop words are listed."""
     columns = df.columns
+    listed = None
+    if language in columns:
+        code = F.lower(F.substring_index(F.translate(F.col("__row")[language], "_", "-"), "-", 1))
+        listed = F.coalesce(code.isin(*LISTED), F.lit(False))
     inner = df.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
     # The row number is no condition. Without it the filter would move below the projections, and what they compute
     # once for a text would be computed again for each word inside the lambdas.
-    judged = assess(inner, "__text", rules).withColumn("__number", F.monotonically_increasing_id())
+    judged = measures(inner, "__text", loose=True).withColumn("kept", ~base_failed() & verdict(rules, listed))
+    judged = judged.withColumn("__number", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("__number") >= 0)).select(
         *[F.col("__row")[c].alias(c) for c in columns]
     )

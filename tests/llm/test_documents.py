@@ -82,6 +82,17 @@ def test_quality_keeps_rows_as_they_are(documents):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_stop_words_bind_listed_languages(spark):
+    polish = (
+        "rzeka płynęła obok starego młyna i obracała koło które młynarz zbudował własnymi rękami kiedy był młody wieś "
+        "miała jeszcze targ przed kościołem gdzie spotykali się ludzie"
+    )
+    marked = "“The” " + " ".join(f"river{i}" for i in range(30)) + " (OF)"
+    rows = [(1, polish, "pl"), (2, polish, "en"), (3, polish, None), (4, marked, "en-GB"), (5, "# " * 40, "pl"), (6, PROSE, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs).collect()) == [1, 3, 4, 6]
+
+
 def test_quality_plan_is_one_projection(documents):
     plan = quality.assess(documents(["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan

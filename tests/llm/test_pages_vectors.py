@@ -240,7 +240,7 @@ def plainly_good(text):
         2 <= chars / n <= 15
         and symbols / n <= 0.2
         and len(re.findall("[A-Z]", text)) / chars <= 0.5
-        and sum(w in quality.STOP_WORDS for w in words) / n >= 0.02
+        and sum(w.lower().strip(quality.MARKS) in quality.STOP_WORDS for w in words) / n >= 0.02
         and doubled / lines <= 0.5
         and sum(a == b for a, b in zip(words, words[1:])) / n <= 0.3
     )
