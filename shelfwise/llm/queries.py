@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import (
     bpe,
+    burst_trie,
     contextual_pii,
+    merkle,
     minhash,
     packing,
     quality,
@@ -20,6 +22,7 @@ from shelfwise.llm import (
     tag_paths,
     topk,
     warc,
+    winnowing,
 )
 from shelfwise.llm.storage import shared_folder, table
 
@@ -125,3 +128,47 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return winnowing.compare_edited(documents).select(
+        "row.doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.written(F.col("marks")).alias("fingerprint"),
+        winnowing.written(F.col("edited_marks")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+        winnowing.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+    )
+
+
+@query
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return burst_trie.prefix_trie(burst_trie.mixed(burst_trie.in_order(turns)))
+
+
+@query
+def op13_level_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    before = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    # every second document, by a hash of its id, loses its line breaks after the manifest is made
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    made = merkle.manifest(
+        documents,
+        merkle.leaf(*before, F.col("text")),
+        F.col("source"),
+        F.col("doc_id"),
+        [F.col("doc_id"), merkle.leaf(*before, text).alias("now")],
+    )
+    return made.select(
+        "row.doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.col("row.now"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))

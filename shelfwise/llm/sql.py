@@ -124,6 +124,107 @@ select page_id, strlen(t)::bigint as payload_bytes, {_LETTERS} as payload_digest
        case when place > 1 then one end as refers_to
 from n"""
 
+#: (v): the table of the CRC-32 of each byte, from its polynomial
+_CRC = """
+bits(i, c, k) as (
+  select range::ubigint, range::ubigint, 0 from range(256)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from bits
+            where k < 8),
+crc as (select list(c order by i) as v from bits where k = 8)
+"""
+
+
+def _crc32(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::int, 1))::ubigint)"
+    step = "lambda a, b: xor(a >> 8, v[(xor(a, b) & 255)::int + 1])"
+    return f"xor(list_reduce({codes}, {step}, 4294967295::ubigint), 4294967295::ubigint)::bigint"
+
+
+_TRIE = f"""
+with recursive {_CRC},
+said as (
+  select conv_id, turn, strlen(coalesce(text, '')) as bytes,
+         substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) as id
+  from conversations where conv_id is not null),
+own as (
+  select conv_id, list(id order by turn nulls first, id) as ids, list(bytes order by turn nulls first, id) as sizes
+  from said group by conv_id),
+planned as (select own.*, conv_id - conv_id % 5 as base, {_crc32("conv_id::varchar")} % 9 as h from own, crc),
+rebuilt as (
+  select p.conv_id, list_concat(coalesce(b.ids[1:p.h], []), p.ids[p.h + 1:]) as ids,
+         list_concat(coalesce(b.sizes[1:p.h], []), p.sizes[p.h + 1:]) as sizes
+  from planned p left join own b on b.conv_id = p.base),
+prefixes as (
+  select conv_id, d, ids[1:d] as p, case when d > 0 then sizes[d] else 0 end as bytes, d = len(ids) as ends
+  from (select *, unnest(range(len(ids) + 1)) as d from rebuilt)),
+nodes as (
+  select p, d, min(conv_id) as conv_id, count(*) as n, max(bytes) as bytes,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+  from prefixes group by p, d),
+children as (select p[1:d - 1] as p, count(*) as n_children from nodes where d > 0 group by all),
+trees as (
+  select a.p, count(*) filter (c.p is null)::bigint as n_leaves, sum((b.n - 1) * b.bytes)::bigint as saved_tokens
+  from nodes a join nodes b on b.d >= a.d and b.p[1:a.d] = a.p left join children c on c.p = b.p group by a.p)
+select n.conv_id, n.d::bigint as depth, up.conv_id as parent_conv_id, n.n as n_convs,
+       coalesce(n_children, 0)::bigint as n_children, n_leaves, saved_tokens, n.ends_sha256
+from nodes n join trees using (p) left join children using (p)
+left join nodes up on n.d > 0 and up.d = n.d - 1 and up.p = n.p[1:n.d - 1]"""
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    parts = [f"case when {f} is null then '-' else strlen({f}::varchar) || ':' || {f}::varchar end" for f in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(name: str, source: str) -> str:
+    """Nodes (k, level, pos, digest, n) above the rows of `source` (k, pos, digest, n)."""
+    return f"""{name}(k, level, pos, digest, n) as (
+  select k, 0, pos, digest, n from {source}
+  union all
+  select k, level + 1, pos // 3, sha256(string_agg(digest, '' order by pos)), max((n + 2) // 3) from {name}
+  where n > 1 group by k, level, pos // 3)"""
+
+
+def _beside(level: int, tree: str, k: str, pos: str) -> str:
+    own = f"({pos} // (3 ** t.level)::bigint)"
+    return f"""
+  select r, {level} + t.level as level, coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos < {own}), '') as l,
+         coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos > {own}), '') as r_
+  from placed join {tree} t on t.k = {k} and t.n > 1 and t.pos // 3 = {own} // 3 group by r, t.level"""
+
+
+_MANIFEST = f"""
+with recursive {_CRC},
+leaves as (
+  select row_number() over () as r, doc_id, source, coalesce(strlen(source) || ':' || source, '-') as k,
+         {_leaf("text")} as digest,
+         case when {_crc32("doc_id::varchar")} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")}
+         end as now
+  from documents, crc),
+ranked as (
+  select *, row_number() over (partition by k order by doc_id nulls first, digest) - 1 as pos,
+         count(*) over (partition by k) as n from leaves),
+{_tree("inner_", "ranked")},
+subroots as (
+  select 'all' as k, i.k as name, digest, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n
+  from inner_ i join (select distinct k, source from leaves) s on s.k = i.k where i.n = 1),
+{_tree("outer_", "subroots")},
+placed as (
+  select ranked.r, ranked.k, ranked.pos, subroots.pos as name_pos, subroots.digest as subroot
+  from ranked join subroots on subroots.name = ranked.k),
+sides as ({_beside(0, "inner_", "placed.k", "placed.pos")} union all {_beside(100, "outer_", "'all'", "placed.name_pos")}),
+steps as (select *, row_number() over (partition by r order by level) as i from sides),
+folded(r, i, digest) as (
+  select r, 0, now from leaves
+  union all select f.r, f.i + 1, sha256(l || digest || r_) from folded f join steps s on s.r = f.r and s.i = f.i + 1),
+proofs as (select r, string_agg(l || r_, '' order by level) as proof from sides group by r),
+last as (select r, max_by(digest, i) as folded_root from folded group by r)
+select doc_id, ranked.digest as leaf, subroot, root, sha256(coalesce(proof, '')) as proof_sha256, folded_root,
+       folded_root = root as verified
+from ranked join placed using (r) join last using (r) left join proofs using (r),
+     (select digest as root from outer_ where n = 1)"""
+
 ORACLES: dict[str, str] = {
     "op3_trigram_secrets": _secrets(),
     "op7_histogram_top_k": _VECTORS,
@@ -131,4 +232,6 @@ ORACLES: dict[str, str] = {
     "op4_minhash_odd_sketch": f"with recursive {similar(3, 85, 100, 'documents')} select * from grouped",
     "op6_quality_rules": f"with {QUALITY} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, "
     "base_failed, kept from assessed",
+    "op12_burst_trie": _TRIE,
+    "op13_level_strings": _MANIFEST,
 }

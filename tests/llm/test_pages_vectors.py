@@ -202,7 +202,7 @@ def comparable(rows):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         duck.execute(f"create or replace view {table} as select * from '{SMALL}/{table}.parquet'")
     got = QUERIES[name](spark, SMALL)
     columns = sorted(got.columns)
