@@ -34,7 +34,6 @@ class Settings:
     clusters: int = 3
     starts: int = 10
     max_iterations: int = 100
-    cluster_partitions: int = 2  # of the points; more for large tables, but labels may depend on it
     label_map: Mapping[int, int] | None = None  # None: the largest cluster becomes 0
     # recommendations
     top_products: int = 10

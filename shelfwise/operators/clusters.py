@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import squared_distance
+from shelfwise.operators.kmeans import best_of_starts
 
 KEY = "CustomerID"
-FITS_AT_A_TIME = 10
-PARTITIONS = 2  # of the points, whatever their number; two at least
-TOLERANCE = 1e-4  # of the mean variance, for the squared move of all centroids
-
-
-def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
 def fit_centroids(
@@ -33,36 +21,11 @@ def fit_centroids(
     starts: int = 10,
     max_iterations: int = 100,
     seed: int = 0,
-    partitions: int = PARTITIONS,
 ) -> tuple[list[list[float]], list[float]]:
     """Centroids of the cheapest of several starts, in a fixed order, and the
-    cost of every start. The fits share one persisted input and run side by
-    side, so that the last tasks of one overlap with the next.
-
-    Starts are drawn by partition and row, so the points are first put in an
-    order that depends on nothing but themselves and on `partitions`, which a
-    large table should raise to the number of cores."""
-    spark = points.sparkSession
-    variances = points.agg(*[F.var_pop(c) for c in columns]).first()
-    # each centroid may move by its part of the whole tolerance
-    tolerance = math.sqrt(TOLERANCE * sum(variances) / len(variances) / k)
-    order = [c for c in [KEY, *columns] if c in points.columns]
-    placed = points.repartition(max(2, partitions), *order).sortWithinPartitions(*order)
-    vectors = _vectors(placed, columns).select("features")
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(start: int) -> tuple[float, list[list[float]]]:
-        model = KMeans(k=k, maxIter=max_iterations, tol=tolerance, seed=seed + start).fit(vectors)
-        return model.summary.trainingCost, [c.tolist() for c in model.clusterCenters()]
-
-    try:
-        vectors.count()
-        with ThreadPoolExecutor(FITS_AT_A_TIME) as pool:
-            fits = list(pool.map(inheritable_thread_target(spark)(fit), range(starts)))
-    finally:
-        vectors.unpersist()
-    _, centroids = min(fits, key=lambda f: f[0])
-    return sorted(centroids), [cost for cost, _ in fits]
+    cost of every start. Neither depends on how the points are partitioned."""
+    centroids, costs = best_of_starts(points, columns, k, starts, max_iterations, seed)
+    return sorted(centroids.tolist()), costs
 
 
 def assign(points: DataFrame, columns: list[str], centroids: list[list[float]]) -> DataFrame:
@@ -144,10 +107,44 @@ def cluster_quality(points: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def silhouette(points: DataFrame, columns: list[str]) -> float:
-    """Mean silhouette by squared Euclidean distance."""
-    ready = _vectors(points, columns).select("features", F.col("cluster").cast("double").alias("prediction"))
-    return ClusteringEvaluator().evaluate(ready)
+def silhouette(points: DataFrame, columns: list[str]) -> float | None:
+    """Mean silhouette by squared Euclidean distance; null without two clusters.
+
+    The mean squared distance of a point to a cluster follows from the count,
+    the sums and the squared sum of the cluster, so no pairs are looked at. A
+    point alone in its cluster counts as 0. Coordinates are taken from their
+    mean, which leaves distances as they are and keeps digits."""
+    means = points.agg(*[F.avg(c) for c in columns]).first()
+    if means[0] is None:
+        return None
+    centred = points.select("cluster", *[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(columns, means, strict=True)])
+    own = F.lit(0.0)
+    for c in columns:
+        own = own + F.col(c) ** 2
+    centred = centred.withColumn("square", own)
+    # one row for each cluster
+    stats = centred.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("square").alias("squares"), *[F.sum(c).alias(c) for c in columns]
+    ).orderBy("cluster").collect()
+    if len(stats) < 2:
+        return None
+
+    def summed(row: Row) -> Column:
+        """Squared distances to all points of a cluster."""
+        total = F.col("square") * row["n"] + row["squares"]
+        for c in columns:
+            total = total - F.col(c) * (2 * row[c])
+        return F.greatest(total, F.lit(0.0))
+
+    inside = [F.col("cluster").eqNullSafe(F.lit(row["cluster"])) for row in stats]
+    within = F.coalesce(*[F.when(here, summed(row) / F.lit(max(row["n"] - 1, 1))) for here, row in zip(inside, stats, strict=True)])
+    alone = F.coalesce(*[F.when(here, F.lit(row["n"] == 1)) for here, row in zip(inside, stats, strict=True)])
+    others = [F.when(~here, summed(row) / F.lit(row["n"])) for here, row in zip(inside, stats, strict=True)]
+    judged = centred.select(within.alias("a"), F.least(*others).alias("b"), alone.alias("alone"))
+    value = F.when(F.col("alone") | (F.greatest("a", "b") == 0), 0.0).otherwise(
+        F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    )
+    return judged.agg(F.avg(value)).first()[0]
 
 
 def cost_by_k(

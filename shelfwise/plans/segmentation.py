@@ -61,7 +61,6 @@ def segment(lines: DataFrame, settings: Settings = Settings()) -> Segmentation:
         settings.starts,
         settings.max_iterations,
         settings.seed,
-        settings.cluster_partitions,
     )
     components = cut_lineage(relabel(assign(reduced, axes, centroids), settings.label_map))
     return Segmentation(

@@ -24,6 +24,8 @@ def local_session(cores: int | str = "*", app: str = "shelfwise") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.codegen.cache.maxEntries", "2000")  # the steps repeat; do not compile them again
+        # the place in the source of each column expression costs more than building it
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

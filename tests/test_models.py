@@ -10,7 +10,7 @@ from toy import settings
 
 from shelfwise.config import Settings
 from shelfwise.functions.aggregates import exact_quantile
-from shelfwise.operators import clusters, outliers, reduction, scaling
+from shelfwise.operators import clusters, kmeans, outliers, reduction, scaling
 from shelfwise.plans.segmentation import find_outliers
 
 
@@ -236,18 +236,90 @@ def test_settings_are_restored(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
 
 
-def test_clusters_do_not_depend_on_the_partitioning(spark):
+def test_clusters_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    """Equal to the last bit, whatever the partitions of the points and of the passes."""
     rng = np.random.default_rng(4)
     rows = [(i, *map(float, rng.normal(3 * (i % 3), 1.0, 2))) for i in range(600)]
     found = set()
-    for partitions in (1, 3, 8):
+    for partitions, rows_a_task in ((1, 4096), (8, 4096), (8, 50), (64, 10)):
+        monkeypatch.setattr(kmeans, "ROWS_A_TASK", rows_a_task)
         df = spark.createDataFrame(rows, "CustomerID long, PC1 double, PC2 double").repartition(partitions)
-        centroids, _ = clusters.fit_centroids(df, ["PC1", "PC2"], starts=3)
+        centroids, costs = clusters.fit_centroids(df, ["PC1", "PC2"], starts=3)
         labels = clusters.assign(df, ["PC1", "PC2"], centroids).orderBy("CustomerID").collect()
-        found.add(tuple(r["cluster"] for r in labels))
+        found.add((str(centroids), str(costs), tuple(r["cluster"] for r in labels)))
     assert len(found) == 1
 
 
+def test_steps_equal_plain_ones(spark, blobs):
+    """All starts move as each would alone, in shared passes."""
+    df, pdf = blobs
+    rows = pdf[["PC1", "PC2"]].to_numpy()
+    points = kmeans.prepared(df, ["PC1", "PC2"], 0)
+    begun = kmeans.starting_centroids(points, 4, 6, 0)
+    tolerance = kmeans.TOLERANCE * kmeans.mean_variance(points)
+    assert tolerance == pytest.approx(1e-4 * rows.var(axis=0).mean())
+    ended = kmeans.lloyd(points, begun, 100, tolerance)
+    for start, end in zip(begun, ended, strict=True):
+        for _ in range(100):
+            nearest = ((rows[:, None, :] - start[None]) ** 2).sum(axis=2).argmin(axis=1)
+            moved = np.array([rows[nearest == c].mean(axis=0) if (nearest == c).any() else start[c] for c in range(4)])
+            start, before = moved, start
+            if ((start - before) ** 2).sum() <= tolerance:
+                break
+        assert end == pytest.approx(start, abs=1e-9)
+    points.df.unpersist()
+
+
+def test_passes_are_shared(spark, blobs, monkeypatch):
+    df, _ = blobs
+    passes = []
+    summed = kmeans.Points.summed
+    monkeypatch.setattr(kmeans.Points, "summed", lambda self, measure: passes.append(1) or summed(self, measure))
+    clusters.fit_centroids(df, ["PC1", "PC2"], k=4, starts=10, max_iterations=20)
+    assert len(passes) <= 20 + 9
+
+
+def test_starts_reach_the_cost_of_the_library(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    df, _ = cloud(spark, n=1500, seed=6)
+    vectors = VectorAssembler(inputCols=list("abcd"), outputCol="features").transform(df)
+    best = min(KMeans(k=5, maxIter=100, seed=s).fit(vectors).summary.trainingCost for s in range(5))
+    _, costs = clusters.fit_centroids(df, list("abcd"), k=5)
+    assert min(costs) <= best * 1.01
+
+
+def test_clusters_of_few_and_equal_points(spark):
+    schema = "CustomerID long, x double"
+    centroids, costs = clusters.fit_centroids(spark.createDataFrame([(1, 2.0), (2, 2.0)], schema), ["x"], starts=2)
+    assert centroids == [[2.0]] * 3 and costs == [0.0, 0.0]
+    with pytest.raises(ValueError, match="no points"):
+        clusters.fit_centroids(spark.createDataFrame([], schema), ["x"])
+    far = spark.createDataFrame([(i, 1e12 + i % 2 * 1e9) for i in range(10)], schema)
+    assert np.ravel(clusters.fit_centroids(far, ["x"], k=2, starts=3)[0]) == pytest.approx([1e12, 1.001e12])
+
+
+def test_silhouette_equals_all_pairs(spark):
+    random = np.random.default_rng(8)
+    rows = random.normal(size=(80, 2)) * 3
+    labels = np.array([0] * 50 + [1] * 29 + [5])
+    df = spark.createDataFrame([(int(c), *map(float, r)) for c, r in zip(labels, rows, strict=True)], "cluster int, x double, y double")
+    squared = ((rows[:, None] - rows[None]) ** 2).sum(axis=2)
+    values = []
+    for i, label in enumerate(labels):
+        own = labels == label
+        if own.sum() == 1:
+            values.append(0.0)
+            continue
+        a = squared[i, own].sum() / (own.sum() - 1)
+        b = min(squared[i, labels == c].mean() for c in set(labels) - {label})
+        values.append((b - a) / max(a, b))
+    assert clusters.silhouette(df, ["x", "y"]) == pytest.approx(np.mean(values), abs=1e-9)
+    assert clusters.silhouette(df.where("cluster = 0"), ["x", "y"]) is None
+    assert clusters.silhouette(df.where("cluster > 9"), ["x", "y"]) is None
+
+
 def test_a_map_without_a_cluster_raises(spark):
     df = spark.createDataFrame([(i, i % 4) for i in range(8)], "CustomerID long, cluster int")
     with pytest.raises(ValueError, match="3"):
