@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def most_frequent_number(key: str, count: str, span: int, condition: Column) -> Column:
-    """Aggregate: the key in 0..span-1 with the greatest count, the smallest
-    key on a tie. Count and key share one number, which a hash aggregate can
-    update in place."""
-    best = F.max(F.when(condition, F.col(count) * span - F.col(key)))
-    return F.pmod(-best, F.lit(span)).cast("int")
+def most_counted(counters: list[Column]) -> Column:
+    """The place of the greatest counter, the first one on a tie; null if all
+    are 0."""
+    span = len(counters)
+    best = F.greatest(*[counter * span - i for i, counter in enumerate(counters)])
+    return F.when(best > 0, F.pmod(-best, F.lit(span))).cast("int")
 
 
 def is_most_frequent(key: str, value: str, count: str, condition: Column) -> Column:

@@ -80,23 +80,6 @@ def ratio(part: str | Column, whole: str | Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def trend(months: Column) -> Column:
-    """Least-squares slope of an array of (month, spend), ordered by month,
-    against 0, 1, 2, ...; zero for a single month.
-
-    With the positions fixed the slope needs one weighted sum: the squared
-    deviations of 0..n-1 add up to n(n^2-1)/12.
-    """
-    n = F.size(months).cast("double")
-    middle = (n - 1) / 2
-    weighted = F.aggregate(
-        F.transform(months, lambda month, i: (i - middle) * month["spend"].cast("double")),
-        F.lit(0.0),
-        lambda total, term: total + term,
-    )
-    return F.when(F.size(months) > 1, weighted * 12 / (n * (n * n - 1))).otherwise(F.lit(0.0))
-
-
 def squared_distance(columns: list[str], centroid: Iterable[float]) -> Column:
     terms = [(F.col(c) - F.lit(float(x))) ** 2 for c, x in zip(columns, centroid, strict=True)]
     total = terms[0]

@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import Settings
-from shelfwise.functions.aggregates import is_most_frequent, mode_by, most_frequent_number
+from shelfwise.functions.aggregates import is_most_frequent, mode_by, most_counted
 from shelfwise.functions.columns import (
     flag,
     is_cancelled,
     line_spend,
     ratio,
-    trend,
     weekday,
     zero_if_null,
 )
@@ -202,89 +201,98 @@ def multi_line_customers(lines: DataFrame, min_lines: int = 2) -> DataFrame:
 
 # ---------------------------------------------------------------- all features
 
+WORD = 60  # months in a word of a bitmap
 
-def invoice_facts(lines: DataFrame) -> DataFrame:
-    """Lines summed up for each customer, invoice, time and country."""
-    day = F.to_date("InvoiceDate")
-    return lines.groupBy(KEY, "InvoiceNo", "InvoiceDate", "Country").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum("Quantity").alias("quantity"),
-        F.sum(line_spend()).alias("spend"),
-        F.max(day).alias("day"),
+
+def month_number(timestamp: str) -> Column:
+    return F.year(timestamp) * 12 + F.month(timestamp) - 1
+
+
+def customer_sums(lines: DataFrame) -> DataFrame:
+    """Sums over the lines of each customer, with a counter for each weekday
+    and hour: of fixed width, so that they add up on the map side in place."""
+    day, on, at = F.to_date("InvoiceDate"), weekday("InvoiceDate"), F.hour("InvoiceDate")
+    counters = {f"weekday_{i}": F.count_if(on == i) for i in range(7)} | {f"hour_{i}": F.count_if(at == i) for i in range(24)}
+    return lines.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
+        F.count("InvoiceDate").alias("lines"),
+        F.min(day).alias("first_day"),
+        F.max(day).alias("last_day"),
+        zero_if_null(F.sum("Quantity")).alias("Total_Products_Purchased"),
+        zero_if_null(F.sum(line_spend()).cast("double")).alias("Total_Spend"),
+        *[counter.alias(name) for name, counter in counters.items()],
+    )
+
+
+def customer_sets(lines: DataFrame, home: str) -> DataFrame:
+    """Counts of the invoices and products of each customer, and whether the
+    country of most lines is `home`: three grouping sets in one shuffle."""
+    by = ["InvoiceNo", "StockCode", "Country"]
+    rows = lines.select(KEY, *by).groupingSets([[KEY, name] for name in by], KEY, *by).agg(
+        *[(F.grouping(name) == 0).alias(f"by_{name}") for name in by], F.count(F.lit(1)).alias("rows")
+    )
+    invoice = F.col("by_InvoiceNo") & F.col("InvoiceNo").isNotNull()
+    return rows.groupBy(KEY).agg(
+        F.count_if(invoice).alias("Total_Transactions"),
+        F.count_if(invoice & is_cancelled()).alias("Cancellation_Frequency"),
+        F.count_if(F.col("by_StockCode") & F.col("StockCode").isNotNull()).alias("Unique_Products_Purchased"),
+        flag(is_most_frequent("Country", home, "rows", F.col("by_Country"))).alias("Is_UK"),
     )
 
 
-def customer_facets(facts: DataFrame) -> DataFrame:
-    """Sums for each customer by invoice, month, weekday, hour and country,
-    as grouping sets: one expansion and one shuffle for all five."""
-    month = F.date_trunc("month", "InvoiceDate").cast("date")
-    rows = facts.select(
-        KEY,
-        "InvoiceNo",
-        "Country",
-        month.alias("month"),
-        weekday("InvoiceDate").alias("weekday"),
-        F.hour("InvoiceDate").alias("hour"),
-        F.when(F.col("InvoiceDate").isNotNull(), F.col("lines")).otherwise(0).alias("dated_lines"),
-        "lines",
-        "quantity",
-        "spend",
-        "day",
+def month_features(lines: DataFrame, first_month: int, last_month: int) -> DataFrame:
+    """Mean, deviation and trend of the monthly spend.
+
+    A customer's active months are a bitmap, in as many words as the data has
+    spans of `WORD` months. The ordinal of a month is the count of the bits
+    below it, and the slope one weighted sum: the squared deviations of the
+    ordinals 0..n-1 add up to n(n^2-1)/12.
+    """
+    dated = lines.where(F.col("InvoiceDate").isNotNull()).withColumn("month", month_number("InvoiceDate") - first_month)
+    words = [f"word_{i}" for i in range((last_month - first_month) // WORD + 1)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("month") % WORD)
+    word = F.floor(F.col("month") / F.lit(WORD))
+    active = dated.groupBy(KEY).agg(
+        *[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0)).alias(name) for i, name in enumerate(words)]
     )
-    by = ["InvoiceNo", "Country", "month", "weekday", "hour"]
-    return rows.groupingSets([[KEY, name] for name in by], KEY, *by).agg(
-        *[(F.grouping(name) == 0).alias(f"by_{name}") for name in by],
-        F.sum("lines").alias("lines"),
-        F.sum("dated_lines").alias("dated_lines"),
-        F.sum("quantity").alias("quantity"),
-        F.sum("spend").alias("spend"),
-        F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"),
+    spent = dated.groupBy(KEY, "month").agg(zero_if_null(F.sum(line_spend()).cast("double")).alias("spend"))
+    ordinal, months = F.lit(0), F.lit(0)
+    for i, name in enumerate(words):
+        below = F.when(word > i, F.bit_count(name)).when(word == i, F.bit_count(F.col(name).bitwiseAND(bit - 1))).otherwise(0)
+        ordinal, months = ordinal + below, months + F.bit_count(name)
+    weighted = (ordinal - (months - 1) / F.lit(2.0)) * F.col("spend")
+    n = F.count(F.lit(1)).cast("double")
+    return spent.join(active, KEY).groupBy(KEY).agg(
+        F.avg("spend").alias("Monthly_Spending_Mean"),
+        zero_if_null(F.stddev_samp("spend")).alias("Monthly_Spending_Std"),
+        F.when(n > 1, F.sum(weighted) * 12 / F.greatest(n * (n * n - 1), F.lit(1.0))).otherwise(0.0).alias("Spending_Trend"),
     )
 
 
 def customer_features(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row for each customer with at least `min_lines` lines.
 
-    Two aggregates run over the lines: invoice facts, which everything but the
-    product count derives from, and distinct products. Both group by more than
-    the customer and aggregate on the map side, so a customer with a third of
-    all lines is spread out; the final grouping by customer then meets one row
-    per invoice, month, weekday, hour, country or product, and reduces those on
-    the map side again.
+    Sums run over the lines once; invoices, products, countries and months are
+    grouped by the customer and themselves first. All aggregate on the map side
+    in buffers of fixed width, so a customer with a third of all lines is spread
+    out, and reaches its final task as a row for each map task, and for each of
+    its months. The first month and the last day of all lines are read
+    beforehand.
     """
-    facets = customer_facets(invoice_facts(lines))
-    by_invoice, by_month = F.col("by_InvoiceNo"), F.col("by_month")
-    has_invoice = by_invoice & F.col("InvoiceNo").isNotNull()
-    has_month = by_month & F.col("month").isNotNull()
-    month_spend = F.when(has_month, F.coalesce(F.col("spend").cast("double"), F.lit(0.0)))
-
-    customers = facets.groupBy(KEY).agg(
-        F.sum(F.when(by_invoice, F.col("dated_lines"))).alias("lines"),
-        F.min("first_day").alias("first_day"),
-        F.max("last_day").alias("last_day"),
-        F.count_if(has_invoice).alias("Total_Transactions"),
-        F.count_if(has_invoice & is_cancelled()).alias("Cancellation_Frequency"),
-        zero_if_null(F.sum(F.when(by_invoice, F.col("quantity")))).alias("Total_Products_Purchased"),
-        zero_if_null(F.sum(F.when(by_invoice, F.col("spend"))).cast("double")).alias("Total_Spend"),
-        most_frequent_number("weekday", "lines", 7, F.col("by_weekday")).alias("Day_Of_Week"),
-        most_frequent_number("hour", "lines", 24, F.col("by_hour")).alias("Hour"),
-        flag(is_most_frequent("Country", settings.home_country, "lines", F.col("by_Country"))).alias("Is_UK"),
-        F.avg(month_spend).alias("Monthly_Spending_Mean"),
-        zero_if_null(F.stddev_samp(month_spend)).alias("Monthly_Spending_Std"),
-        # one entry per calendar month at most
-        F.collect_list(F.when(has_month, F.struct("month", month_spend.alias("spend")))).alias("months"),
+    month = month_number("InvoiceDate")
+    first_month, last_month, latest = lines.agg(F.min(month), F.max(month), F.max(F.to_date("InvoiceDate"))).first()
+    customers = (
+        customer_sums(lines)
+        .where(F.col("lines") >= settings.min_lines)
+        .join(customer_sets(lines, settings.home_country), KEY)
+        .join(month_features(lines, first_month or 0, last_month or 0), KEY)
     )
     days = F.datediff("last_day", "first_day")
     features: dict[str, Column] = {
-        "Days_Since_Last_Purchase": F.datediff(global_last_day(lines).scalar(), "last_day"),
+        "Days_Since_Last_Purchase": F.datediff(F.lit(latest), "last_day"),
         "Average_Transaction_Value": ratio("Total_Spend", "Total_Transactions"),
         "Average_Days_Between_Purchases": ratio(days, F.col("lines") - 1),
+        "Day_Of_Week": most_counted([F.col(f"weekday_{i}") for i in range(7)]),
+        "Hour": most_counted([F.col(f"hour_{i}") for i in range(24)]),
         "Cancellation_Rate": ratio("Cancellation_Frequency", "Total_Transactions"),
-        "Spending_Trend": trend(F.array_sort("months")),
     }
-    return (
-        customers.where(F.col("lines") >= settings.min_lines)
-        .join(unique_products(lines), KEY)
-        .select(KEY, *[features.get(c, F.col(c)).alias(c) for c in feature_columns(settings.with_rate)])
-    )
+    return customers.select(KEY, *[features.get(c, F.col(c)).alias(c) for c in feature_columns(settings.with_rate)])

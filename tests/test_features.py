@@ -143,9 +143,28 @@ def test_feature_plan_has_no_python_and_no_join_shuffle(spark, small, capsys):
         features.customer_features(lines, VIEW_SETTINGS).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Pandas" not in plan and "Window" not in plan
-    joined = plan[plan.index("SortMergeJoin"):].split("BroadcastExchange")[0]
-    # facts, facets and customers on one side, products twice on the other: the
-    # sides of the join are already split by customer, and no line is shuffled again
-    assert joined.count("Exchange hashpartitioning(CustomerID#") == 5
-    assert [joined.count(f"Exchange {kind}") for kind in ("rangepartitioning", "RoundRobin")] == [0, 0]
-    assert joined.count("Scan parquet") == 2
+    # fixed-width buffers only; what is joined is split by customer already, and
+    # months are the only thing shuffled twice without a sum in between
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning(CustomerID#") == 6
+    assert [plan.count(f"Exchange {kind}") for kind in ("rangepartitioning", "RoundRobin", "SinglePartition")] == [0, 0, 0]
+    assert plan.count("Expand") == 1
+
+
+def test_trend_over_many_words_of_months(spark):
+    """Months far apart, so that the bitmap of a customer has several words."""
+    random = np.random.default_rng(9)
+    rows = []
+    for customer in range(40):
+        months = random.choice(300, size=random.integers(1, 40), replace=False)
+        for month in [*months, *months[:5]]:
+            time = pd.Timestamp(1990 + month // 12, 1 + month % 12, 1 + customer % 28, int(month % 24))
+            rows.append((f"{customer}-{month}", "10", int(random.integers(-5, 50)), time, 2.0, customer, "X"))
+    names = ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country"]
+    pdf = pd.DataFrame(rows, columns=names)
+    found = features.customer_features(spark.createDataFrame(pdf)).toPandas().set_index("CustomerID").sort_index()
+    monthly = (pdf["UnitPrice"] * pdf["Quantity"]).groupby([pdf["CustomerID"], pdf["InvoiceDate"].dt.to_period("M")]).sum()
+    slope = monthly.groupby(level=0).apply(lambda y: np.polyfit(range(len(y)), y, 1)[0] if len(y) > 1 else 0.0)
+    assert found["Spending_Trend"].tolist() == pytest.approx(slope.tolist(), abs=1e-9)
+    std = monthly.groupby(level=0).std().fillna(0.0)
+    assert found["Monthly_Spending_Std"].tolist() == pytest.approx(std.tolist())
