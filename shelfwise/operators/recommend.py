@@ -2,72 +2,48 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions import joins
+from shelfwise.functions.joins import join_by_customer
 from shelfwise.session import cut_lineage
 
 KEY = "CustomerID"
-
-# Top lists are broadcast for up to this many clusters, which are counted first;
-# beyond, they are joined by shuffle.
-MAX_BROADCAST_CLUSTERS = 10_000
-
-
-@dataclass(frozen=True)
-class Sizes:
-    customers: int
-    clusters: int
-
-    @classmethod
-    def of(cls, customers: DataFrame) -> Sizes:
-        return cls(*customers.agg(F.count(F.lit(1)), F.count_distinct("cluster")).first())
-
-    def small_customers(self) -> bool:
-        return self.customers <= joins.MAX_BROADCAST_CUSTOMERS
-
-    def cluster_side(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.clusters <= MAX_BROADCAST_CLUSTERS else df
+WORD = 63  # places in a word of a mask
+SALTS = 64
 
 
 def drop_outlier_lines(lines: DataFrame, outliers: DataFrame) -> DataFrame:
-    return joins.join_by_customer(lines, outliers.select(KEY), KEY, "left_anti")
+    return join_by_customer(lines, outliers.select(KEY), KEY, "left_anti")
 
 
 def lines_with_cluster(lines: DataFrame, customers: DataFrame) -> DataFrame:
-    return joins.join_by_customer(lines, customers.select(KEY, "cluster"), KEY)
+    return join_by_customer(lines, customers.select(KEY, "cluster"), KEY)
 
 
-def customer_products(lines: DataFrame) -> DataFrame:
-    """Net quantity of each product for each customer: after this a customer
-    has one row per product, so none is hot in a join by customer."""
-    return lines.groupBy(KEY, "StockCode", "Description").agg(F.sum("Quantity").alias("Quantity"))
+def best_sellers(lines: DataFrame, customers: DataFrame) -> DataFrame:
+    """Net quantity of each product in each cluster. The lines of heavy
+    customers are spread out in the join, and all are summed up on the map side."""
+    sold = lines_with_cluster(lines.select(KEY, "StockCode", "Description", "Quantity"), customers)
+    return sold.groupBy("cluster", "StockCode", "Description").agg(F.sum("Quantity").alias("Quantity"))
 
 
-def best_sellers(lines: DataFrame, customers: DataFrame, sizes: Sizes | None = None) -> DataFrame:
-    """Net quantity of each product in each cluster.
+def top_products(sellers: DataFrame, n: int = 10) -> DataFrame:
+    """The n best-sellers of each cluster.
 
-    With few customers, their clusters are broadcast and the lines are summed
-    up where they are. With many, the lines are first summed up by customer and
-    product, so that the join by customer meets no hot customer.
-    """
-    sizes = sizes or Sizes.of(customers)
-    clusters = customers.select(KEY, "cluster")
-    if sizes.small_customers():
-        sold = lines.join(F.broadcast(clusters), KEY)
-    else:
-        sold = customer_products(lines).join(clusters, KEY)
-    return sold.groupBy("cluster", "StockCode", "Description").agg(F.sum("Quantity").alias("Quantity"))
+    Each task keeps only its own top n before the shuffle by cluster. Spark
+    does so for short lists; for a longer one the products of a cluster are
+    first dealt out by a hash, and the top n of each share meet."""
+    by = [F.col("Quantity").desc(), "StockCode", "Description"]
 
+    def top(df: DataFrame, *group: str) -> DataFrame:
+        order = Window.partitionBy(*group).orderBy(*by)
+        return df.withColumn("Rank", F.row_number().over(order)).where(F.col("Rank") <= n)
 
-def top_products(sellers: DataFrame, n: int = 10) -> DataFrame:
-    """The n best-sellers of each cluster; each task keeps only its own top n
-    before the shuffle by cluster."""
-    order = Window.partitionBy("cluster").orderBy(F.col("Quantity").desc(), "StockCode", "Description")
-    return sellers.withColumn("Rank", F.row_number().over(order)).where(F.col("Rank") <= n)
+    if n > int(sellers.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        dealt = sellers.withColumn("salt", F.pmod(F.xxhash64("StockCode", "Description"), F.lit(SALTS)))
+        sellers = top(dealt, "cluster", "salt").drop("salt", "Rank")
+    return top(sellers, "cluster")
 
 
 def purchases(lines: DataFrame, customers: DataFrame) -> DataFrame:
@@ -82,41 +58,54 @@ def top_lists(top: DataFrame) -> DataFrame:
     return top.groupBy("cluster").agg(F.array_sort(F.collect_list(product)).alias("top"))
 
 
-def stored_lists(lines: DataFrame, customers: DataFrame, sizes: Sizes, n: int) -> DataFrame:
+def stored_lists(lines: DataFrame, customers: DataFrame, n: int) -> DataFrame:
     """The top lists, stored: they are tiny, cost a pass over all lines, and
     are joined twice."""
-    return cut_lineage(top_lists(top_products(best_sellers(lines, customers, sizes), n)))
+    return cut_lineage(top_lists(top_products(best_sellers(lines, customers), n)))
 
 
-def not_bought(lines: DataFrame, customers: DataFrame, lists: DataFrame, sizes: Sizes | None = None) -> DataFrame:
-    """Each customer with the top products of the cluster they have not bought.
+def bought_masks(lines: DataFrame, customers: DataFrame, lists: DataFrame, n: int) -> DataFrame:
+    """The places in the top list of their cluster that each customer has
+    bought, as bits of `bought`, an array of words.
 
-    Only purchases of top products matter, and those are few: the lines are
-    cut down to them by a broadcast semi join before anything is shuffled.
+    Lines are cut down to purchases of top products first, and to one for each
+    customer and product; then the masks of the products are or-ed.
     """
-    sizes = sizes or Sizes.of(customers)
-    codes = lists.select(F.explode("top.StockCode").alias("StockCode")).distinct()
-    bought = (
-        lines.select(KEY, "StockCode")
-        .join(sizes.cluster_side(codes), "StockCode", "left_semi")
+    places = lists.select("cluster", F.posexplode("top").alias("place", "product"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place") % WORD)
+    words = range((n - 1) // WORD + 1)
+    # a code with two descriptions has two places
+    masks = places.groupBy("cluster", F.col("product.StockCode").alias("StockCode")).agg(
+        *[F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / F.lit(WORD)) == w, bit)), F.lit(0)).alias(f"word_{w}") for w in words]
+    )
+    top_codes = masks.select("StockCode").distinct()
+    bought = lines.select(KEY, "StockCode").join(top_codes, "StockCode", "left_semi").distinct()
+    return (
+        bought.join(customers.select(KEY, "cluster"), KEY)
+        .join(masks, ["cluster", "StockCode"])
         .groupBy(KEY)
-        .agg(F.collect_set("StockCode").alias("bought"))
+        .agg(*[F.bit_or(f"word_{w}").alias(f"word_{w}") for w in words])
+        .select(KEY, F.array(*[f"word_{w}" for w in words]).alias("bought"))
     )
-    has = F.coalesce(F.col("bought"), F.array().cast("array<string>"))
+
+
+def not_bought(lines: DataFrame, customers: DataFrame, lists: DataFrame, n: int) -> DataFrame:
+    """Each customer with the top products of the cluster they have not bought."""
+    place = lambda i: F.call_function("shiftright", F.get("bought", F.floor(i / F.lit(WORD)).cast("int")), i % WORD)
+    is_bought = lambda i: F.coalesce(place(i).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
     return (
-        customers.join(bought, KEY, "left")
-        .join(sizes.cluster_side(lists), "cluster")
-        .withColumn("options", F.filter("top", lambda p: ~F.array_contains(has, p["StockCode"])))
+        customers.join(bought_masks(lines, customers, lists, n), KEY, "left")
+        .join(lists, "cluster")
+        .withColumn("options", F.filter("top", lambda product, i: ~is_bought(i)))
         .drop("bought", "top")
     )
 
 
 def candidates(lines: DataFrame, customers: DataFrame, top_n: int = 10, k: int = 3) -> DataFrame:
     """The first k products not bought, one row each."""
-    sizes = Sizes.of(customers)
-    lists = stored_lists(lines, customers, sizes, top_n)
+    lists = stored_lists(lines, customers, top_n)
     return (
-        not_bought(lines, customers.select(KEY, "cluster"), lists, sizes)
+        not_bought(lines, customers.select(KEY, "cluster"), lists, top_n)
         .select(KEY, "cluster", F.posexplode(F.slice("options", 1, k)).alias("position", "product"))
         .select(
             KEY,
@@ -143,9 +132,8 @@ def recommend(
     """
     if outliers is not None:
         customers = customers.join(outliers.select(KEY), KEY, "left_anti")
-    sizes = Sizes.of(customers)
-    lists = stored_lists(lines, customers, sizes, top_n)
-    return wide(not_bought(lines, customers, lists, sizes), k)
+    lists = stored_lists(lines, customers, top_n)
+    return wide(not_bought(lines, customers, lists, top_n), k)
 
 
 def wide(options: DataFrame, k: int = 3) -> DataFrame:

@@ -325,9 +325,23 @@ from (
                from spread o where o.cluster <> s.cluster) as worst
   from spread s)
 cross join (select avg({POINT[0]}) as g1, avg({POINT[1]}) as g2, avg({POINT[2]}) as g3 from features)""",
+    # every pair of points
+    "m10_silhouette": """
+select round(avg(case when b is null then null when alone or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 6)
+         as silhouette
+from (
+  select CustomerID, max(a) as a, min(b) as b, max(alone) as alone
+  from (
+    select p.CustomerID, case when o.cluster = p.cluster then sum(d) / greatest(count(*) - 1, 1) end as a,
+           case when o.cluster <> p.cluster then sum(d) / count(*) end as b,
+           o.cluster = p.cluster and count(*) = 1 as alone
+    from points p, points o,
+         lateral (select (p.x1 - o.x1) ** 2 + (p.x2 - o.x2) ** 2 + (p.x3 - o.x3) ** 2 as d) t
+    group by p.CustomerID, p.cluster, o.cluster)
+  group by CustomerID)""",
 }
 QUALITY_TABLES = f"""
-points as (select {REMAINDER} as cluster, {POINT[0]} as x1, {POINT[1]} as x2, {POINT[2]} as x3 from features),
+points as (select CustomerID, {REMAINDER} as cluster, {POINT[0]} as x1, {POINT[1]} as x2, {POINT[2]} as x3 from features),
 centres as (
   select cluster, count(*) as n, avg(x1) as c1, avg(x2) as c2, avg(x3) as c3 from points group by cluster),
 spread as (
@@ -347,6 +361,10 @@ REC_QUERIES = {
     "s3_csv_sink": (
         f"select cast(CustomerID as double) as CustomerID, {FEATURE_LIST}, cluster, {REC_LIST} from recommended"
     ),
+    "s5_sample_rows": (
+        f"select CustomerID, {REC_LIST} from recommended "
+        "order by md5(cast(CustomerID as varchar) || ':0'), CustomerID limit 10"
+    ),
     "s4_preview": (
         f"select CustomerID, {FEATURE_LIST}, cluster, {REC_LIST} from recommended "
         "order by cluster, CustomerID limit 5"
@@ -361,7 +379,7 @@ def _oracles() -> dict[str, str]:
             tables = head
             if " scaled" in tail:
                 tables += ",\n" + SCALED_TABLE
-            if name == "m10_quality":
+            if name.startswith("m10_"):
                 tables += "," + QUALITY_TABLES
             found[name] = f"with {tables.strip()}\n{tail}"
     return found

@@ -77,20 +77,19 @@ def test_nothing_left_to_recommend(spark, toy):
     assert wide_rows(recommend.recommend(lines, one)) == {1: [None] * 6}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_against_brute_force(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(joins, "MAX_BROADCAST_CUSTOMERS", 0)
-        monkeypatch.setattr(recommend, "MAX_BROADCAST_CLUSTERS", 0)
+@pytest.mark.parametrize("small, top_n", [(True, 10), (False, 10), (True, 70)])
+def test_against_brute_force(spark, monkeypatch, small, top_n):
+    """With customers that are all heavy, and none; with masks of one word, and two."""
+    monkeypatch.setattr(joins, "HEAVY", 0.01 if small else 0.9)
     pdf = random_lines()
     customers = pd.DataFrame({"CustomerID": range(1, 60)})
     customers["cluster"] = customers["CustomerID"] % 3
     lines, assigned = spark.createDataFrame(pdf).repartition(6), spark.createDataFrame(customers)
-    expected = brute_force(pdf, customers)
+    expected = brute_force(pdf, customers, top_n)
     limits = {} if small else {"spark.sql.autoBroadcastJoinThreshold": "-1"}
     with settings(spark, limits):
-        found = wide_rows(recommend.recommend(lines, assigned))
-        single = recommend.candidates(lines, assigned).orderBy("CustomerID", "Position").collect()
+        found = wide_rows(recommend.recommend(lines, assigned, top_n=top_n))
+        single = recommend.candidates(lines, assigned, top_n).orderBy("CustomerID", "Position").collect()
     assert set(found) == set(expected)
     for customer, products in expected.items():
         flat = [x for product in products for x in product]
@@ -113,10 +112,9 @@ def test_outlier_lines_do_not_count(spark):
     }
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_line_joins_keep_every_line(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(joins, "MAX_BROADCAST_CUSTOMERS", 0)
+@pytest.mark.parametrize("heavy", [0.01, 0.9])
+def test_line_joins_keep_every_line(spark, monkeypatch, heavy):
+    monkeypatch.setattr(joins, "HEAVY", heavy)
     pdf = random_lines(4)
     lines = spark.createDataFrame(pd.concat([pdf, pdf.head(50)]))  # equal lines, too
     outside = spark.createDataFrame([(7,), (8,)], "CustomerID long")
@@ -159,3 +157,47 @@ def test_plan_limits_before_the_shuffle_and_broadcasts_top_lists(spark, toy, cap
     assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
     for each in (best, plan):
         assert "CartesianProduct" not in each and "NestedLoop" not in each and "Python" not in each
+
+
+def test_heavy_customers_are_found(spark):
+    lines = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, 8).otherwise(F.col("id")).cast("long").alias("CustomerID")
+    )
+    assert joins.heavy_keys(lines, "CustomerID") == [7, 8]
+    assert joins.heavy_keys(lines.where("false"), "CustomerID") == []
+
+
+def test_only_heavy_customers_are_repeated(spark, capsys):
+    lines = spark.range(3000).select(F.when(F.col("id") < 1500, 1).otherwise(F.col("id")).alias("CustomerID"), "id")
+    keyed = spark.range(3000).select(F.col("id").alias("CustomerID"), F.lit(0).alias("cluster"))
+    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        joined = joins.join_by_customer(lines, keyed, "CustomerID")
+        joined.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("hashpartitioning(CustomerID#") == 2 and plan.count("salt#") > 2 and "Broadcast" not in plan
+    assert joined.count() == 3000
+
+
+def test_long_lists_are_cut_before_they_meet(spark, capsys):
+    """Beyond what Spark limits by itself, a cluster's products are ranked in shares first."""
+    rows = spark.range(30_000).select(
+        (F.col("id") % 2).alias("cluster"), F.col("id").cast("string").alias("StockCode"),
+        F.lit("X").alias("Description"), (F.xxhash64("id") % 1000).alias("Quantity"),
+    )
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        recommend.top_products(rows, 5000).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Window [") == 2 and "hashpartitioning(cluster#" in plan.split("salt#")[0]
+    found = recommend.top_products(rows, 5000).toPandas()
+    pdf = rows.toPandas().sort_values(["cluster", "Quantity", "StockCode"], ascending=[True, False, True])
+    expected = pdf.groupby("cluster").head(5000)
+    found = found.sort_values(["cluster", "Rank"])
+    assert found["StockCode"].tolist() == expected["StockCode"].tolist()
+
+
+def test_masks_have_no_sets(spark, toy, capsys):
+    lines, customers = toy
+    lists = recommend.stored_lists(lines, customers, 10)
+    recommend.bought_masks(lines, customers, lists, 10).explain()
+    plan = capsys.readouterr().out
+    assert "bit_or" in plan and "collect_set" not in plan and "ObjectHashAggregate" not in plan
