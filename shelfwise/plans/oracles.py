@@ -349,6 +349,63 @@ spread as (
   from (select c.*, (x1 - c1) ** 2 + (x2 - c2) ** 2 + (x3 - c3) ** 2 as d from points p join centres c
         on c.cluster = p.cluster) group by all)"""
 
+# eigenvalues and eigenvectors of the covariance by cyclic Jacobi rotations, one in each step, of a matrix that is one
+# list, row by row
+N = len(FEATURE_NAMES)
+ROTATIONS = 10 * N * (N - 1) // 2
+COMPONENTS = f"""
+vectors as (
+  select CustomerID, list_value({", ".join(f"coalesce({c}, 0)::double" for c in FEATURE_NAMES)}) as r from scaled),
+means as (select list(m order by i) as mu from (select i, avg(r[i + 1]) as m from vectors, range({N}) t(i) group by i)),
+covariances as (
+  select list(c order by k) as m
+  from (select k, covar_samp(r[k // {N} + 1], r[k % {N} + 1]) as c from vectors, range({N * N}) t(k) group by k)),
+pairs as (
+  select list(p order by p, q) as ps, list(q order by p, q) as qs from range({N}) a(p), range({N}) b(q) where p < q),
+jacobi(k, m, v) as (
+  select 0, m, list_transform(range({N * N}), lambda i: case when i // {N} = i % {N} then 1.0 else 0.0 end::double)
+  from covariances
+  union all
+  select k + 1,
+         list_transform(range({N * N}), lambda i: case when i // {N} = p then c * b[i + 1] - s * b[q * {N} + i % {N} + 1]
+                                                       when i // {N} = q then s * b[p * {N} + i % {N} + 1] + c * b[i + 1]
+                                                       else b[i + 1] end),
+         list_transform(range({N * N}), lambda i: case when i % {N} = p then c * v[i + 1] - s * v[i - p + q + 1]
+                                                       when i % {N} = q then s * v[i - q + p + 1] + c * v[i + 1]
+                                                       else v[i + 1] end)
+  from (
+    select *, list_transform(range({N * N}), lambda i: case when i % {N} = p then c * m[i + 1] - s * m[i - p + q + 1]
+                                                            when i % {N} = q then s * m[i - q + p + 1] + c * m[i + 1]
+                                                            else m[i + 1] end) as b
+    from (
+      select *, t * c as s
+      from (
+        select *, 1 / sqrt(t * t + 1) as c
+        from (
+          select *, case when pq = 0 then 0
+                         else (case when qq >= pp then 1 else -1 end) * (case when pq > 0 then 1 else -1 end)
+                              / (abs((qq - pp) / (2 * pq)) + sqrt(((qq - pp) / (2 * pq)) ** 2 + 1)) end as t
+          from (
+            select *, m[p * {N} + p + 1] as pp, m[q * {N} + q + 1] as qq, m[p * {N} + q + 1] as pq
+            from (select k, m, v, ps[k % len(ps) + 1] as p, qs[k % len(ps) + 1] as q from jacobi, pairs
+                  where k < {ROTATIONS}))))))),
+components as (
+  select *, row_number() over (order by value desc) as component
+  from (
+    select m[i * {N} + i + 1] as value, list_transform(range({N}), lambda j: v[j * {N} + i + 1]) as axis
+    from jacobi, range({N}) t(i) where k = {ROTATIONS})),
+axes as (
+  select component, list_transform(axis, lambda x: x * sign(list_max(axis) + list_min(axis))) as axis from components)"""
+FEATURE_QUERIES |= {
+    "m6c_explained_variance": (
+        "select cast(component as int) as component, round(value / sum(value) over (), 6) as share from components"
+    ),
+    "m6_pca": "select CustomerID, "
+    + ", ".join(f"max(x) filter (component = {i}) as PC{i}" for i in range(1, 7))
+    + " from (select CustomerID, component, round(list_dot_product(list_transform(range("
+    + f"{N}), lambda i: r[i + 1] - mu[i + 1]), axis), 4) as x from vectors, means, axes where component <= 6) group by CustomerID",
+}
+
 REC_QUERIES = {
     "rec1_best_sellers": "select * from best",
     "rec2_top10": "select cluster, StockCode, Description, Quantity, cast(Rank as int) as Rank from top",
@@ -377,8 +434,10 @@ def _oracles() -> dict[str, str]:
     for head, tails in ((RAW, ROWS), (CLEAN, LINES), (FEATURES, FEATURE_QUERIES), (RECOMMEND, REC_QUERIES)):
         for name, tail in tails.items():
             tables = head
-            if " scaled" in tail:
+            if " scaled" in tail or name in ("m6_pca", "m6c_explained_variance"):
                 tables += ",\n" + SCALED_TABLE
+            if name in ("m6_pca", "m6c_explained_variance"):
+                tables = f"recursive {tables.strip()},{COMPONENTS}"
             if name.startswith("m10_"):
                 tables += "," + QUALITY_TABLES
             found[name] = f"with {tables.strip()}\n{tail}"

@@ -344,7 +344,7 @@ def _(spark, folder):
 @query("m6_pca")
 def _(spark, folder):
     scaled = cut_lineage(scaling.standardize(stored_customers(spark, folder)))
-    return plain(reduction.fit_components(scaled, numbers(scaled)).transform(scaled))
+    return plain(reduction.fit_components(scaled, numbers(scaled)).transform(scaled), 4)
 
 
 @query("m6b_covariance")
