@@ -6,6 +6,7 @@ scores all rows in vectorised batches.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = "CustomerID"
 EULER_GAMMA = 0.5772156649015329
+WIDTH = 4_294_967_291  # of ranks: the greatest prime below 2 ** 32
 
 
 def expected_path(rows: int | np.ndarray) -> np.ndarray:
@@ -78,20 +80,24 @@ def score_rows(rows: np.ndarray, trees: tuple[np.ndarray, ...], height: int) ->
 def sample_for_trees(df: DataFrame, columns: list[str], trees: int, rows: int, seed: int) -> DataFrame:
     """`rows` customers for each tree, without replacement, chosen by hash.
 
-    A hash below a share slightly above what is needed admits a customer to a
-    tree; of those the lowest `rows` hashes stay. What is shuffled depends on
+    A customer's MD5 gives two numbers, and these its rank for each tree. A
+    rank below a share slightly above what is needed admits a customer to a
+    tree; of those the lowest `rows` ranks stay. What is shuffled depends on
     trees and rows alone, and the choice does not depend on the partitioning.
     """
     total = df.count()
     wanted = min(1.0, (rows + 8 * math.sqrt(rows)) / max(total, 1))
-    width = 1 << 52
+    customer = F.md5(F.concat(F.col(KEY).cast("long").cast("string"), F.lit(f":{seed}")))
+    first, second = (F.conv(F.substring(customer, at, 8), 16, 10).cast("long") for at in (1, 9))
 
     def rank(tree):
-        return F.pmod(F.xxhash64(F.col(KEY), tree, F.lit(seed)), F.lit(width))
+        return (F.col("first") + (tree + 1) * F.col("second")) % WIDTH
 
-    admitted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: rank(tree) < int(wanted * width))
+    admitted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: rank(tree) < int(wanted * WIDTH))
     numbers = [c.alias(name) for c, name in zip(_numbers(columns), columns, strict=True)]
-    drawn = df.select(KEY, *numbers, F.explode(admitted).alias("tree")).withColumn("rank", rank(F.col("tree")))
+    hashed = df.select(KEY, *numbers, first.alias("first"), second.alias("second"))
+    drawn = hashed.select("*", F.explode(admitted).alias("tree")).withColumn("rank", rank(F.col("tree")))
+    drawn = drawn.drop("first", "second")
     # few rows but costly trees: a fixed number of tasks, which is not merged for being small
     drawn = drawn.repartition(min(trees, df.sparkSession.sparkContext.defaultParallelism), "tree")
     by_tree = Window.partitionBy("tree").orderBy("rank", KEY)
@@ -103,8 +109,8 @@ def fit_isolation_forest(
 ) -> IsolationForest:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rows = pdf.sort_values(KEY)[columns].to_numpy(float)
-        grown = grow_tree(rows, np.random.default_rng([seed, tree]))
+        rows = pdf[columns].to_numpy(float)
+        grown = grow_tree(rows, f"{seed}:{tree}")
         return pd.DataFrame([{"tree": tree, "rows": len(rows), **grown}])
 
     schema = (
@@ -137,13 +143,21 @@ def height_limit(tree_rows: int) -> int:
     return math.ceil(math.log2(max(tree_rows, 2)))
 
 
-def grow_tree(rows: np.ndarray, random: np.random.Generator) -> dict[str, list]:
-    """Split at random features and values until rows are alone, alike or at
-    the height limit."""
+def drawn(tree: str, number: int) -> tuple[int, float]:
+    """What a node splits at, from the MD5 of its tree and number: a number to
+    choose the feature by, and one in [0, 1) for the place between its ends."""
+    digest = hashlib.md5(f"{tree}:{number}".encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:21], 16) / (1 << 52)
+
+
+def grow_tree(rows: np.ndarray, tree: str) -> dict[str, list]:
+    """Split at hash-drawn features and values until rows are alone, alike or
+    at the height limit. Nodes are numbered from 1 at the root, the children
+    of i are 2i and 2i + 1, so that no split depends on the order of growth."""
     nodes: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "path": []}
 
-    def add(members: np.ndarray, depth: int) -> int:
-        node = len(nodes["path"])
+    def add(members: np.ndarray, number: int) -> int:
+        node, depth = len(nodes["path"]), number.bit_length() - 1
         nodes["feature"].append(0)
         nodes["threshold"].append(0.0)
         nodes["left"].append(node)
@@ -155,16 +169,17 @@ def grow_tree(rows: np.ndarray, random: np.random.Generator) -> dict[str, list]:
         varying = np.flatnonzero(high > low)
         if not len(varying):
             return node
-        feature = int(varying[random.integers(len(varying))])
-        threshold = float(random.uniform(low[feature], high[feature]))
+        choice, place = drawn(tree, number)
+        feature = int(varying[choice % len(varying)])
+        threshold = float(low[feature] + place * (high[feature] - low[feature]))
         below = members[:, feature] <= threshold
         nodes["feature"][node], nodes["threshold"][node] = feature, threshold
-        nodes["left"][node] = add(members[below], depth + 1)
-        nodes["right"][node] = add(members[~below], depth + 1)
+        nodes["left"][node] = add(members[below], 2 * number)
+        nodes["right"][node] = add(members[~below], 2 * number + 1)
         return node
 
     limit = height_limit(len(rows))
-    add(rows, 0)
+    add(rows, 1)
     return nodes
 
 

@@ -396,7 +396,67 @@ components as (
     from jacobi, range({N}) t(i) where k = {ROTATIONS})),
 axes as (
   select component, list_transform(axis, lambda x: x * sign(list_max(axis) + list_min(axis))) as axis from components)"""
+TREES, SAMPLE = 100, 256
+_SPLIT = """varying[(('0x' || substr(h, 1, 8))::bigint % len(varying)) + 1]"""
+
+
+def _ends(of: str, over: str) -> str:
+    return ", ".join(f"{of}(r[{i}]) {over}" for i in range(1, N + 1))
+
+
+# trees grown level by level: the rows of each node, then the nodes, then the way of every customer down each tree
+FOREST = f"""
+numbers as (
+  select CustomerID, list_value({", ".join(f"coalesce({c}, 0)::double" for c in FEATURE_NAMES)}) as r,
+         md5(CustomerID || ':0') as own from features),
+drawn as (
+  select tree, CustomerID, r, count(*) over (partition by tree) as size from (
+    select tree, CustomerID, r, row_number() over (partition by tree order by
+             (('0x' || substr(own, 1, 8))::bigint + (tree + 1) * ('0x' || substr(own, 9, 8))::bigint) % 4294967291,
+             CustomerID) as place
+    from numbers, range({TREES}) t(tree)) where place <= {SAMPLE}),
+grown(tree, level, node, size, CustomerID, r) as (
+  select tree, 0, 1, size, CustomerID, r from drawn
+  union all
+  select tree, level + 1, 2 * node + case when r[f + 1] <= low[f + 1] + u * (high[f + 1] - low[f + 1]) then 0 else 1 end,
+         size, CustomerID, r
+  from (
+    select *, {_SPLIT} as f, ('0x' || substr(h, 9, 13))::bigint / 4503599627370496::double as u
+    from (
+      select *, list_filter(range({N}), lambda i: high[i + 1] > low[i + 1]) as varying, md5('0:' || tree || ':' || node) as h
+      from (
+        select *, count(*) over here as n, list_value({_ends("min", "over here")}) as low,
+               list_value({_ends("max", "over here")}) as high
+        from grown window here as (partition by tree, node))
+      where n > 1 and level < ceil(log2(greatest(size, 2))))
+    where len(varying) > 0)),
+nodes as (
+  select *, len(varying) = 0 or n < 2 or level >= ceil(log2(greatest(size, 2))) as leaf,
+         case when len(varying) > 0 then {_SPLIT} end as f,
+         ('0x' || substr(h, 9, 13))::bigint / 4503599627370496::double as u
+  from (
+    select *, list_filter(range({N}), lambda i: high[i + 1] > low[i + 1]) as varying, md5('0:' || tree || ':' || node) as h
+    from (
+      select tree, level, node, max(size) as size, count(*) as n, list_value({_ends("min", "")}) as low,
+             list_value({_ends("max", "")}) as high
+      from grown group by tree, level, node))),
+ways(CustomerID, r, tree, node) as (
+  select CustomerID, r, tree, 1 from numbers, range({TREES}) t(tree)
+  union all
+  select w.CustomerID, w.r, w.tree,
+         2 * w.node + case when w.r[f + 1] <= low[f + 1] + u * (high[f + 1] - low[f + 1]) then 0 else 1 end
+  from ways w join nodes s on s.tree = w.tree and s.node = w.node where not leaf),
+scores as (
+  select CustomerID, 2 ** (-sum((level + {{short}}) / greatest({{whole}}, 1e-12)) / {TREES}) as score
+  from ways w join nodes s on s.tree = w.tree and s.node = w.node where leaf group by CustomerID),
+cut as (select quantile_cont(score, 0.95) as at from scores)"""
+_PATH = "case when {n} > 2 then 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} when {n} = 2 then 1 else 0 end"
+FOREST = FOREST.format(short=_PATH.format(n="n"), whole=_PATH.format(n="size"))
 FEATURE_QUERIES |= {
+    "m1_isolation_forest": (
+        f"select CustomerID, {FEATURE_LIST}, case when score > cut.at then -1 else 1 end as Outlier_Scores, "
+        "case when score > cut.at then 1 else 0 end as Is_Outlier from features join scores using (CustomerID), cut"
+    ),
     "m6c_explained_variance": (
         "select cast(component as int) as component, round(value / sum(value) over (), 6) as share from components"
     ),
@@ -438,6 +498,8 @@ def _oracles() -> dict[str, str]:
                 tables += ",\n" + SCALED_TABLE
             if name in ("m6_pca", "m6c_explained_variance"):
                 tables = f"recursive {tables.strip()},{COMPONENTS}"
+            if name == "m1_isolation_forest":
+                tables = f"recursive {tables.strip()},{FOREST}"
             if name.startswith("m10_"):
                 tables += "," + QUALITY_TABLES
             found[name] = f"with {tables.strip()}\n{tail}"

@@ -32,13 +32,24 @@ def test_path_lengths():
 
 def test_tree_covers_its_rows_and_respects_the_limit():
     rows = np.random.default_rng(3).normal(size=(256, 3))
-    tree = outliers.grow_tree(rows, np.random.default_rng(0))
+    tree = outliers.grow_tree(rows, "0:7")
     leaves = [i for i, left in enumerate(tree["left"]) if left == i]
     assert len(tree["path"]) == 2 * len(leaves) - 1 <= 511
-    same = outliers.grow_tree(np.ones((50, 2)), np.random.default_rng(0))
+    same = outliers.grow_tree(np.ones((50, 2)), "0:0")
     assert same["path"] == [pytest.approx(float(outliers.expected_path(50)))]
 
 
+def test_a_tree_does_not_depend_on_the_order_of_its_rows():
+    rows = np.random.default_rng(3).normal(size=(200, 3))
+    assert outliers.grow_tree(rows, "0:1") == outliers.grow_tree(rows[::-1], "0:1") != outliers.grow_tree(rows, "0:2")
+
+
+def test_draws_are_even():
+    choices, places = zip(*[outliers.drawn("0:0", node) for node in range(4000)])
+    assert abs(np.mean(places) - 0.5) < 0.02 and max(places) < 1
+    assert np.bincount(np.array(choices) % 14).std() < 30
+
+
 def test_planted_extremes_are_flagged(spark):
     df, _ = cloud(spark, n=1000, extremes=5)
     flagged = find_outliers(df, Settings(trees=50)).toPandas()
