@@ -180,23 +180,29 @@ def _star(buckets: DataFrame, labels: DataFrame | None, seen: DataFrame | None,
 def _every(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Links between different components among nodes that share a bucket.
 
-    Buckets of one component are done. The others, joined where they share nodes, make families, so that each node is
-    sent once for all of its buckets. A family is dealt into parts of at most about BLOCK nodes and CELL_BYTES of sets,
-    and each two parts meet in a cell. There odd sketches drop unlike pairs, and full sets decide on the rest; what is
-    linked already isn't compared again, and only links leave a cell."""
-    open_nodes = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    Buckets of one component are done. The others make families: a component counts as one node there, and in each
+    bucket the others are tied to the one with most rows, so that a large settled group adds one row for each component
+    that it meets, not one for each of its nodes. Each node of an open bucket is sent once for all of its buckets. A
+    family is dealt into parts of at most about BLOCK nodes and CELL_BYTES of sets, and each two parts meet in a cell.
+    There odd sketches drop unlike pairs, and full sets decide on the rest; what is linked already isn't compared again,
+    and only links leave a cell."""
+    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     hubs = (
-        open_nodes.groupBy("bucket")
-        .agg(F.min("node").alias("hub"), F.min("label").alias("least"), F.max("label").alias("most"))
-        .where(F.col("least") != F.col("most"))
+        groups.groupBy("bucket")
+        .agg(F.max(F.struct("n", "label"))["label"].alias("hub"), F.count(F.lit(1)).alias("labels"))
+        .where(F.col("labels") > 1)
         .select("bucket", "hub")
     )
-    edges = buckets.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
-    families = components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    hubs = stored(hubs, "hubs")
+    edges = groups.join(hubs, "bucket").where(F.col("label") != F.col("hub"))
+    families = components(edges.select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct())
+    families = families.select(F.col("label").alias("family"), F.col("node").alias("label"))
     members = (
-        families.withColumnRenamed("label", "family")
-        .join(labels, "node", "left")
-        .withColumn("label", F.coalesce("label", "node"))
+        labelled.join(hubs.select("bucket"), "bucket", "left_semi")
+        .groupBy("node")
+        .agg(F.first("label").alias("label"))
+        .join(families, "label")
         .join(sets, "node")
     )
     parts = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("shingles")) / CELL_BYTES)
