@@ -127,6 +127,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # a cut may fall inside a character; the bytes themselves are in the digest
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
