@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,9 @@ OFTEN = 4  # times that a step is met before it is made
 STATES = 60_000  # the transducer starts anew beyond, or beyond so many steps that are only met
 MET = 250_000
 PAIRS = 400_000  # of tokens whose agreement is kept
-CHUNKS = 500_000  # whose ids are kept, and as many pieces
+KEPT_BYTES = 48 << 20  # of pieces and their ids, and as many of chunks with and without a space before them
+KEPT_SIZE = 64  # characters; longer ones are encoded each time
+ENTRY_BYTES = 160  # of an entry besides what its key and value hold
 DECODE_STEP = 4096  # ids
 
 
@@ -261,6 +263,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class KeptBytes(Kept):
+    """Values by chunk, within a number of bytes; emptied when full. Long chunks aren't kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = KEPT_BYTES):
+        super().__init__(make, most)
+        self.held = 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.make(chunk)
+        if len(chunk) <= KEPT_SIZE:
+            if self.held >= self.most:
+                self.clear()
+                self.held = 0
+            # the widest characters take four bytes each
+            self.held += ENTRY_BYTES + 4 * len(chunk) + len(value)
+            self[chunk] = value
+        return value
+
+
 class Encoder:
     """Ids of texts by one rank file; one for each process."""
 
@@ -275,10 +296,10 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.pieces = Kept(lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes(), CHUNKS)
-        self.chunks = ChunkEncoder(
-            lambda text: b"".join(map(self.pieces.__getitem__, self.split(text))), CHUNKS
-        )
+        self.pieces = KeptBytes(lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes())
+        self.chunks = ChunkEncoder(lambda text: b"".join(map(self.pieces.__getitem__, self.split(text))))
+        self.chunks.plain = KeptBytes(self.chunks.plain.make)
+        self.chunks.spaced = KeptBytes(self.chunks.spaced.make)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.chunks.encode(text), "<u4").astype(np.int32)
@@ -295,8 +316,8 @@ class Decoder:
             cls.known[path] = cls(path)
         return cls.known[path]
 
-    def __init__(self, path: str):
-        ranks = read_ranks(path)
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
+        ranks = read_ranks(path) if ranks is None else ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -336,3 +357,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     kind = encoded.schema["row"].dataType.simpleString()
     return encoded.select("row", "ids").mapInArrow(run, f"row {kind}, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """(row, ids, decoded) for each row of `docs`: the ids of its whole text, and the text of these ids, in one pass
+    through one worker that holds the tokens once. Null and empty texts have no ids; repeated rows are read each;
+    columns of any name go along in `row`; an empty table gives an empty one. A text of any length is encoded piece by
+    piece; what a worker keeps is bounded in bytes and holds no long piece."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        encoder = Encoder.of(path, pattern)
+        if path not in Decoder.known:
+            Decoder.known[path] = Decoder(path, encoder.transducer.ranks)
+        decoder = Decoder.of(path)
+        ids = [encoder.encode(x or "") for x in batch.column("text").to_pylist()]
+        texts = ["".join(decoder.decode(x.tolist())) for x in ids]
+        arrays = [batch.column("row"), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(arrays, ["row", "ids", "decoded"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return map_slices(rows, "text", run, f"row {kind}, ids array<int>, decoded string")

@@ -43,8 +43,7 @@ def op1_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), *files)
-    return bpe.decode(encoded, files[0]).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), *files).select(
         "row.doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -292,6 +292,26 @@ def test_bpe_agrees_with_the_library(documents, texts):
     assert bpe.decode(bpe.encode(empty, *files), MULTI).count() == 0
 
 
+def test_round_trip_of_awkward_and_long_texts(documents):
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdeé", k=200_000)), "x" * 100_000, "word " * 100_000]
+    values = AWKWARD + long
+    plain = encoding()
+    rows = bpe.round_trip(documents(values), MULTI, public_tokenizers.PATTERN).select("row.doc_id", "ids", "decoded").collect()
+    for row in rows:
+        text = values[row["doc_id"]] or ""
+        assert row["ids"] == plain.encode_ordinary(text) and row["decoded"] == text
+    assert bpe.round_trip(documents([]), MULTI, public_tokenizers.PATTERN).collect() == []
+
+
+def test_kept_bytes_are_bounded():
+    kept = bpe.KeptBytes(lambda chunk: chunk.encode(), 10_000)
+    for i in range(5000):
+        assert kept[str(i)] == str(i).encode()
+        assert len(kept) * bpe.ENTRY_BYTES <= 10_000 + bpe.ENTRY_BYTES
+    assert kept["y" * 65] == b"y" * 65 and "y" * 65 not in kept
+
+
 def test_text_comes_out_wherever_bytes_are_cut():
     rng = random.Random(4)
     some = [0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xFF, 0xED, 0xA0, 0xF4]
