@@ -8,6 +8,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import uuid
 import zlib
 
@@ -84,6 +85,83 @@ def test_ratios_decide_whatever_is_marked():
     assert tag_paths.content(f"<main>{text}<h2>On</h2>{text}{links}<p>{LONG}</p></main>") == [*kept, "On", *kept, LONG]
 
 
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ("<ul><li>Two eggs</li><li>Milk</li></ul>", ["Two eggs", "Milk"]),
+        ("<table><tr><td>Year</td><td>2020</td></tr></table>", ["Year", "2020"]),
+        ("<blockquote><p>Never again!</p></blockquote>", ["Never again!"]),
+        ("<pre>x = 1</pre>", ["x = 1"]),
+        ("<div>Short closing line</div>", ["Short closing line"]),
+        ("<p title=it's>Odd value</p>", ["Odd value"]),
+        ("<section class='comments'>%s</section>", []),
+        ("<div class=sidebar>%s</div>", []),
+        ("<div class='cookie-consent'>%s</div>", []),
+        ("<div id='comments-container'>%s</div>", []),
+    ],
+)
+def test_short_blocks_stay_and_long_marked_ones_go(inner, kept):
+    inner = inner.replace("%s", f"<p>{LONG * 20}</p>" * 6)
+    text = f"<p>{LONG}</p>" * 3
+    three = [LONG] * 3
+    for around in ("<article>%s</article>", "<main><div>%s</div></main>", "<div id=x>%s</div>"):
+        assert tag_paths.content(around % (text + inner + text)) == [*three, *kept, *three], around
+        if kept:
+            assert tag_paths.content(around % (text + inner)) == [*three, *kept], around
+        else:
+            assert tag_paths.content(around % text + inner) == three, around
+
+
+def test_made_layouts():
+    """Pages of random layouts, against the blocks that were put into their articles."""
+    rng = random.Random(7)
+
+    def sentence():
+        return " ".join(rng.choices("one two three four five six".split(), k=rng.randint(6, 30))) + rng.choice(".!?;")
+
+    for _ in range(300):
+        truth, article = [], []
+        for _ in range(rng.randint(3, 12)):
+            kind = rng.choice(["p", "p", "p", "li", "td", "h2", "pre", "blockquote", "inline"])
+            value = sentence() if kind in ("p", "inline") else rng.choice(["Two eggs", "2020", "Never again", sentence()])
+            truth.append(value)
+            first, _, others = value.partition(" ")
+            article.append({
+                "li": f"<ul><li>{value}</ul>",
+                "td": f"<table><tr><td>{value}</table>",
+                "inline": f"<p><b>{first}</b> <a href=x>{others}</a></p>" if others else f"<p>{first}",
+            }.get(kind, f"<{kind}>{value}</{kind}>"))
+            if rng.random() < 0.2:
+                article.append(f"<div class={rng.choice(['ad', 'comments', 'share-box'])}><p>{sentence()}</p></div>")
+        truth.append(LONG)
+        article.append(f"<p>{LONG}</p>")
+        open_, close = rng.choice([
+            ("<article>", "</article>"), ("<main><div class=text>", "</div></main>"),
+            ("<div class='wrap has-sidebar'><article class=post>", "</article></div>"),
+        ])
+        boilerplate = [
+            f"<nav><a href=/>{sentence()}</a></nav>", f"<div class=sidebar><p>{sentence() * 5}</p></div>",
+            f"<header><p>{sentence()}</p></header>", "<script>if (a < b) { x('<p>') }</script>",
+            "<ul><li><a href=a>One</a></li><li><a href=b>Two, three.</a></li></ul>", f"<footer>{sentence()}</footer>",
+            f"<section id=comments><p>{sentence() * 9}</p><p>{sentence() * 9}</p></section>", f"<!-- {sentence()} -->",
+        ]
+        rng.shuffle(boilerplate)
+        cut = rng.randint(0, len(boilerplate))
+        page = "".join([*boilerplate[:cut], open_, *article, close, *boilerplate[cut:]])
+        assert tag_paths.content(page) == truth, page
+
+
+def test_long_and_deep_pages_take_linear_time():
+    start = time.process_time()
+    assert tag_paths.content("<div>" * 20000 + LONG) == [LONG]
+    assert len(tag_paths.content("<div>x" * 20000)) == 20000
+    assert tag_paths.content("<p><b>" * 20000 + "y") == ["y"]
+    assert tag_paths.content("</b><i>" * 20000 + "z") == ["z"]
+    assert tag_paths.content("<a b=\"" * 20001) == []
+    assert len(tag_paths.content("x" * 1_000_000)[0]) == 1_000_000
+    assert time.process_time() - start < 15
+
+
 def test_outside_words_only_weigh():
     text = f"<p>{LONG}</p><p>{LONG}</p>"
     kept = [LONG, LONG]
