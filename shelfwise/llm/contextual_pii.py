@@ -16,41 +16,58 @@ EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"  # a run with fewer digits fails wherever it begins
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What an identifier may look like: some letters, then a digit among the first nine characters, six or more in all.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z/_-]{0,8}+[0-9][A-Za-z0-9/_-]{5,}+"
-CONTEXT = 48  # characters before a span in which its two words are looked for
+#: What an identifier may look like: groups of digits with single blanks between them, which letters may lead, or a run
+#: of five characters or more that has a digit or begins with @.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9._%+@/#-])(?:[A-Z]{0,4}+[0-9]{2,}+(?:\x20[0-9]{2,}+)++(?![A-Za-z0-9])"
+    r"|(?=@|[A-Za-z._/#@-]*+[0-9])[A-Za-z0-9#@][A-Za-z0-9._/#@-]{4,}(?<=[A-Za-z0-9]))"
+)
+#: Texts are read in parts of about this many characters, so that work is in proportion to their lengths. A part ends
+#: where no match can go on: behind a character that none holds, or at a blank beside a letter.
+PART = 1000
+PARTS = (
+    rf"(?s).{{{PART},}}?(?:(?<=[^A-Za-z0-9._%+@\x20()/#-])|(?<=[A-Za-z]\x20)|(?<=\x20)(?=[A-Za-z]))|.+"
+)
+LAST_WORDS = r"(?<!\S)(\S++\s++)?+(\S++)\s*+$"
 SPAN = "struct<s:int,e:int,m:string>"
+PLACED = "array<struct<s:int,k:int,e:int,m:string>>"
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """A pattern counts from `support` distinct instances on that are known, and with `confidence` its unknown ones
-    are taken; `rounds` times scores pass from instances to patterns and back."""
+    """A pattern counts from `support` distinct instances on that are known or taken, one of a single word from `single`
+    on, and with `confidence` its unknown ones are taken; `rounds` times scores pass from instances to patterns and
+    back."""
 
     rounds: int = 3
     support: int = 3
+    single: int = 6
     confidence: float = 0.8
 
 
-def _spans(df: DataFrame, name: str, regex: str, text: str = "__t") -> DataFrame:
-    """Adds `name`, all matches with their places in code points: what lies between matches gives the distances."""
-    kept = df.columns
-    some = F.col(text).rlike(regex)
-    empty = F.array().cast("array<string>")
-    df = df.select(
-        *kept,
-        F.when(some, F.regexp_extract_all(text, F.lit(regex), F.lit(0))).otherwise(empty).alias("__m"),
-        F.when(some, F.split(text, regex, -1)).otherwise(empty).alias("__gaps"),
+def _parts(text: Column) -> Column:
+    some = text.rlike("[0-9@]")
+    return F.when(some, F.regexp_extract_all(text, F.lit(PARTS), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _places(parts: str) -> Column:
+    """Where each part begins, and where the last one ends."""
+    return F.aggregate(
+        parts,
+        F.array(F.lit(0)),
+        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))),
     )
+
+
+def _spans(matches: Column, gaps: Column) -> Column:
+    """All matches with their places in code points: what lies between matches gives the distances."""
     step = F.aggregate(
-        F.sequence(F.lit(0), F.size("__m") - 1),
+        F.sequence(F.lit(0), F.size(matches) - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda a, i: _extended(a, F.get(F.col("__gaps"), i), F.get(F.col("__m"), i)),
+        lambda a, i: _extended(a, F.get(gaps, i), F.get(matches, i)),
         lambda a: a["out"],
     )
-    return df.select(
-        *kept, F.when(F.size("__m") > 0, step).otherwise(F.array().cast(f"array<{SPAN}>")).alias(name)
-    )
+    return F.when(F.size(matches) > 0, step).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _extended(a: Column, gap: Column, match: Column) -> Column:
@@ -84,127 +101,173 @@ def _octets(match: Column) -> Column:
     return F.forall(F.split(match, r"\."), small)
 
 
-def _base(df: DataFrame, text: str) -> DataFrame:
-    """Adds `__base`, the spans of the known kinds by start and kind, as structs of s, k (the kind's number), e, m."""
-    df = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    checks = {
-        "__email": (EMAIL, lambda m: F.lit(True)),
-        "__ip": (IP, _octets),
-        "__card": (CARD, _luhn),
-        "__phone": (PHONE, lambda m: F.length(_digits(m)).between(10, 15)),
-    }
-    for name, (regex, _) in checks.items():
-        df = _spans(df, name, regex)
-    arrays = []
-    for k, (name, (_, holds)) in enumerate(checks.items()):
-        arrays.append(_kind(name, k, holds))
-    return df.withColumn("__base", F.sort_array(F.concat(*arrays))).drop(*checks)
-
-
-def _kind(name: str, k: int, holds: Callable[[Column], Column]) -> Column:
-    return F.transform(F.filter(name, lambda x: holds(x["m"])), lambda x: _numbered(x, k))
+CHECKS: tuple[tuple[str, str, Callable[[Column], Column]], ...] = (
+    ("@", EMAIL, lambda m: F.lit(True)),
+    ("[0-9]", IP, _octets),
+    ("[0-9]", CARD, _luhn),
+    ("[0-9]", PHONE, lambda m: F.length(_digits(m)).between(10, 15)),
+)
 
 
 def _of_kind(spans: str, k: int) -> Column:
     return F.filter(spans, lambda x: x["k"] == k)
 
 
-def _numbered(span: Column, k: int) -> Column:
-    return F.struct(span["s"].alias("s"), F.lit(k).alias("k"), span["e"].alias("e"), span["m"].alias("m"))
+def _numbered(span: Column, k: int, at: Column | int = 0) -> Column:
+    return F.struct((span["s"] + at).alias("s"), F.lit(k).alias("k"), (span["e"] + at).alias("e"), span["m"].alias("m"))
 
 
 def _text_key(text: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
-def _mentions(df: DataFrame) -> DataFrame:
-    """Adds `__mentions`: base spans, and candidates that touch none of them, each with the two words before it."""
-    df = _spans(df, "__all", CANDIDATE)
-    free = F.filter(
-        "__all", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+def _patterns(before: Column, instance: Column, after: Column) -> Column:
+    """What may give an identifier away: the two words before it, the last of them, alone or with the shape of the
+    identifier, the field name right before it, and its shape with the word after it."""
+    word = F.regexp_replace(F.lower(F.regexp_extract(before, LAST_WORDS, 2)), r"[\"'(<\[]++", "")
+    first = F.lower(F.regexp_replace(F.regexp_extract(before, LAST_WORDS, 1), r"\s++", ""))
+    follows = F.lower(F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))
+    label = F.regexp_extract(word, r"([\p{L}_-]+)[:=]$", 1)
+    shape = F.regexp_replace(F.regexp_replace(instance, "[A-Za-z]++", "a"), "[0-9]++", "9")
+    forms = (
+        ((first != "") & (word != ""), ("2", first, word)),
+        (word != "", ("1", word)),
+        (word != "", ("s", word, shape)),
+        (label != "", ("f", label)),
+        (follows != "", ("a", shape, follows)),
     )
-    spans = F.concat("__base", F.transform(free, lambda x: _numbered(x, KINDS.index("found"))))
+    return F.array_compact(F.array(*[
+        F.when(holds, F.concat_ws(" ", *[F.lit(x) if isinstance(x, str) else x for x in words])) for holds, words in forms
+    ]))
+
+
+def _scan(df: DataFrame, text: str) -> DataFrame:
+    """Adds `__base`, the spans of the known kinds by start and kind, as structs of s, k (the kind's number), e, m, and
+    `__mentions`: these and the candidates that touch none of them, each with its patterns. A match lies in one part;
+    words around it may lie in the next ones."""
+    kept = df.columns
+    df = df.withColumn("__parts", _parts(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn("__places", _places("__parts"))
+
+    def near(i: Column, regex: str) -> Column:
+        return F.coalesce(F.regexp_extract(F.get("__parts", i), regex, 0), F.lit(""))
+
+    def matched(part: Column, i: Column) -> Column:
+        fields = [
+            F.get("__places", i).alias("at"), part.alias("t"),
+            near(i - 1, LAST_WORDS).alias("lead"), near(i + 1, r"^\s*+\S++").alias("tail"),
+        ]
+        for k, (some, regex) in enumerate([*[(some, regex) for some, regex, _ in CHECKS], ("[0-9@]", CANDIDATE)]):
+            none = F.array().cast("array<string>")
+            found = part.rlike(some)
+            fields.append(F.when(found, F.regexp_extract_all(part, F.lit(regex), F.lit(0))).otherwise(none).alias(f"m{k}"))
+            fields.append(F.when(found, F.split(part, regex, -1)).otherwise(none).alias(f"g{k}"))
+        return F.struct(*fields)
+
+    def placed(part: Column) -> Column:
+        base = []
+        for k, (_, _, holds) in enumerate(CHECKS):
+            good = F.filter(_spans(part[f"m{k}"], part[f"g{k}"]), _on_match(holds))
+            base.append(F.transform(good, _numbering(k)))
+        n = len(CHECKS)
+        return F.struct(
+            part["at"].alias("at"), part["t"].alias("t"), part["lead"].alias("lead"), part["tail"].alias("tail"),
+            F.sort_array(F.concat(*base)).alias("base"),
+            F.transform(_spans(part[f"m{n}"], part[f"g{n}"]), _numbering(n)).alias("others"),
+        )
 
-    def before(span: Column) -> Column:
-        first = F.greatest(span["s"] - CONTEXT, F.lit(0))
-        near = F.substring(F.col("__t"), first + 1, span["s"] - first)
-        return F.lower(F.regexp_extract(near, r"(\S+\s+\S+)\s*$", 1))
+    def mentions(part: Column) -> Column:
+        free = F.filter(
+            part["others"], lambda x: ~F.exists(part["base"], lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        )
+        return F.transform(
+            F.concat(part["base"], free),
+            lambda x: F.struct(
+                (x["s"] + part["at"]).alias("s"), x["k"].alias("k"), (x["e"] + part["at"]).alias("e"),
+                x["m"].alias("instance"),
+                _patterns(
+                    F.concat(part["lead"], F.substring(part["t"], F.lit(1), x["s"])),
+                    x["m"],
+                    F.concat(F.substring(part["t"], x["e"] + 1, F.length(part["t"])), part["tail"]),
+                ).alias("patterns"),
+            ),
+        )
 
-    return df.withColumn(
-        "__mentions",
-        F.filter(
+    df = df.select(*kept, F.transform("__parts", matched).alias("__matched"))
+    df = df.select(*kept, F.transform("__matched", placed).alias("__placed"))
+    return df.select(
+        *kept,
+        F.flatten(
             F.transform(
-                spans,
-                lambda x: F.struct(
-                    x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("instance"),
-                    before(x).alias("pattern"),
+                "__placed",
+                lambda p: F.transform(
+                    p["base"],
+                    lambda x: F.struct((x["s"] + p["at"]).alias("s"), x["k"].alias("k"), (x["e"] + p["at"]).alias("e"), x["m"].alias("m")),
                 ),
-            ),
-            lambda x: x["pattern"] != "",
-        ),
-    ).drop("__all")
+            )
+        ).alias("__base"),
+        F.flatten(F.transform("__placed", mentions)).alias("__mentions"),
+    )
+
+
+def _on_match(holds: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda span: holds(span["m"])
+
+
+def _numbering(k: int) -> Callable[[Column], Column]:
+    return lambda span: _numbered(span, k)
 
 
 def discovered(mentions: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """(text_key, s, k, e, m): mentions of no known kind that patterns of high confidence bring up.
 
-    Edges join patterns with instances. Known instances score 1. A pattern's score is the share that its instances'
-    scores make up; an instance's is the chance that not all of its patterns err. Both are sums over edges, so a
-    frequent pattern reaches its task as one row per map task."""
+    Edges join patterns with instances. Known instances score 1, a pattern the mean over its instances, and an unknown
+    instance what its best pattern scores, once that reaches the confidence: weak patterns don't confirm themselves.
+    All are sums and maxima over edges, so a frequent pattern reaches its task as one row per map task."""
     base = F.col("k") < KINDS.index("found")
     edges = stored(
-        mentions.groupBy("pattern", "instance").agg(F.max(base.cast("double")).alias("seed")), "edges"
+        mentions.select("k", "instance", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "instance").agg(F.max(base.cast("double")).alias("seed")),
+        "edges",
     )
-    known = edges.where(F.col("seed") == 1).select("instance").distinct()
-    instances = edges.select("instance").distinct().join(
-        known.withColumn("score", F.lit(1.0)), "instance", "left"
-    ).select("instance", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("seed"))
+    instances = edges.groupBy("instance").agg(F.max("seed").alias("score"), F.max("seed").alias("seed"))
+    least = F.when(F.substring("pattern", 1, 1).isin("1", "a"), how.single).otherwise(how.support)
     for _ in range(how.rounds):
-        patterns = stored(
+        sure = stored(
             edges.select("pattern", "instance").join(instances, "instance").groupBy("pattern").agg(
-                (F.sum("score") / F.count(F.lit(1))).alias("share"),
-                F.count_if(F.col("score") >= how.confidence).alias("known"),
-            ).where((F.col("known") >= how.support) & (F.col("share") > 0)),
+                F.avg("score").alias("share"), F.count_if(F.col("score") >= how.confidence).alias("known"),
+            ).where((F.col("known") >= least) & (F.col("share") >= how.confidence)).select("pattern", "share"),
             "patterns",
         )
-        err = F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9))))
-        scored = edges.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(
-            (1 - F.exp(err)).alias("new")
-        )
+        best = edges.select("pattern", "instance").join(sure, "pattern").groupBy("instance").agg(F.max("share").alias("best"))
         instances = stored(
-            instances.join(scored, "instance", "left").select(
-                "instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("new", F.lit(0.0))).alias("score"), "seed"
+            instances.join(best, "instance", "left").select(
+                "instance", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("score"), "seed"
             ),
             "instances",
         )
-    sure = patterns.where(F.col("share") >= how.confidence).select("pattern")
-    unseen = mentions.where(~base).join(sure, "pattern")
-    return unseen.select("text_key", "s", "k", "e", F.col("instance").alias("m"))
+    unseen = mentions.where(~base).select("text_key", "s", "k", "e", "instance", F.explode("patterns").alias("pattern"))
+    taken = unseen.join(sure, "pattern", "left_semi")
+    return taken.select("text_key", "s", "k", "e", F.col("instance").alias("m")).distinct()
 
 
-def _found(docs: DataFrame, text: str, how: Bootstrap) -> tuple[DataFrame, DataFrame]:
-    """Scanned rows without their texts, and the spans found for each text (text_key, __found). Equal texts count
-    once in the graph."""
-    scanned = _mentions(_base(docs.withColumn("__key", _text_key(text)), text))
-    scanned = stored(scanned.drop("__t", text), "scanned")
+def _found(rows: DataFrame, text: str, how: Bootstrap, keep: list[str]) -> DataFrame:
+    """The columns to keep, `__base`, and `__spans`, all spans of a row by start and kind. Texts are scanned once; equal
+    ones count once in the graph."""
+    scanned = _scan(rows.withColumn("__key", _text_key(text)), text)
+    scanned = stored(scanned.select(*keep, "__key", "__base", "__mentions"), "scanned")
     mentions = (
         scanned.select(F.col("__key").alias("text_key"), F.explode("__mentions").alias("x"))
         .select("text_key", "x.*")
         .distinct()
     )
-    spans = discovered(mentions, how).groupBy("text_key").agg(
-        F.collect_list(F.struct("s", "k", "e", "m")).alias("__found")
+    found = stored(
+        discovered(mentions, how).groupBy("text_key").agg(F.collect_list(F.struct("s", "k", "e", "m")).alias("__found")),
+        "found",
     )
-    return scanned.drop("__mentions"), stored(spans, "found")
-
-
-def _with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds `__spans`, all spans of a row by start and kind."""
-    none = F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")
-    rows = rows.join(found, rows["__key"] == found["text_key"], "left").drop("text_key")
-    return rows.withColumn(
-        "__spans", F.sort_array(F.concat("__base", F.coalesce("__found", none)))
-    ).drop("__found")
+    joined = scanned.join(found, scanned["__key"] == found["text_key"], "left")
+    spans = F.sort_array(F.concat("__base", F.coalesce("__found", F.array().cast(PLACED))))
+    return joined.select(*keep, F.col("__base"), spans.alias("__spans"))
 
 
 def _written(spans: str, kinds: Column) -> Column:
@@ -217,10 +280,12 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", how: Bo
     """(doc_id, n_email, n_ip, n_card, n_phone, n_found, base, spans): `base` and `spans` list kind:start:end.
 
     Whole texts in code points; a null text is empty and has no spans. Repeated rows get the same spans; an empty
-    table gives an empty one; other columns are ignored. The scan stays in place; what is shuffled are mentions.
+    table gives an empty one; other columns are ignored, whatever their names. A long text is read in parts, so its
+    work grows with its length. The scan stays in place; what is shuffled are mentions. Spans that share places are all
+    listed, by start, then kind.
     """
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("__text"))
-    rows = _with_found(*_found(source, "__text", how))
+    rows = _found(source, "__text", how, ["doc_id"])
     kinds = F.array(*[F.lit(k) for k in KINDS])
     count = [
         F.size(_of_kind("__spans", k)).cast("long").alias(f"n_{name}")
@@ -233,24 +298,32 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text", how: Bo
 
 def redact(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
     """`docs` with each span of its texts replaced by its kind in brackets; null stays null, other columns as they
-    are."""
+    are. Rows are scanned once and kept with their spans; a span that begins inside another adds only what reaches
+    beyond it. Repeated rows stay, an empty table gives an empty one, and long texts are put together by parts."""
     columns = docs.columns
-    _, found = _found(docs.select(F.col(text).alias("__text")), "__text", how)
-    row = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    rows = _with_found(_base(row.withColumn("__key", _text_key("__text")), "__text"), found)
+    rows = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
+    rows = _found(rows, "__text", how, ["__row"]).withColumn("__text", F.col("__row")[text])
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = F.col("__t")
-    # a span that begins inside another adds only what reaches beyond it
-    parts = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.get(tags, x["k"]))))
-            .alias("out"),
-        ),
-        lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(t, a["at"] + 1, F.length(t) - a["at"])),
-    )
-    clean = F.when(F.col("__text").isNotNull(), F.when(F.size("__spans") > 0, parts).otherwise(t))
+    rows = rows.withColumn("__parts", F.when(F.size("__spans") > 0, _parts(F.col("__text"))))
+    rows = rows.withColumn("__places", _places("__parts"))
+
+    def cleaned(part: Column, i: Column) -> Column:
+        first, end = F.get("__places", i), F.get("__places", i + 1)
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(a: Column, x: Column) -> Column:
+            before = F.substring(part, a["at"] + 1, x["s"] - first - a["at"])
+            return F.struct(
+                F.greatest(a["at"], x["e"] - first).alias("at"),
+                F.when(x["s"] - first < a["at"], a["out"])
+                .otherwise(F.concat(a["out"], F.array(before, F.get(tags, x["k"]))))
+                .alias("out"),
+            )
+
+        def whole(a: Column) -> Column:
+            return F.concat(F.concat_ws("", a["out"]), F.substring(part, a["at"] + 1, F.length(part)))
+
+        return F.aggregate(F.filter("__spans", lambda x: (x["s"] >= first) & (x["s"] < end)), begun, step, whole)
+
+    clean = F.when(F.size("__spans") > 0, F.concat_ws("", F.transform("__parts", cleaned))).otherwise(F.col("__text"))
     return rows.select(*[(clean if c == text else F.col("__row")[c]).alias(c) for c in columns])

@@ -480,6 +480,67 @@ def test_unseen_identifiers_are_found_by_their_context(documents):
     assert got[8]["spans"] == f"found:{start}:{start + 10}"
 
 
+def test_unseen_identifiers_in_mixed_prose(documents):
+    """Recall and precision over planted identifiers of shapes that no rule knows, among numbers of other meanings."""
+    rng = random.Random(11)
+    words = "the a of and report house river number many old new great found took early late under over".split()
+
+    def prose(n):
+        return " ".join(rng.choices(words, k=n))
+
+    def known():
+        return f"u{rng.randint(1, 10**6)}@mail{rng.randint(1, 99)}.example.org"
+
+    def unseen():
+        return rng.choice([
+            f"@john_doe{rng.randint(10, 999)}", f"cust-{rng.randint(1000, 9999)}.{rng.randint(10, 99)}",
+            f"DE{rng.randint(10, 99)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}",
+            str(rng.randint(10000, 99999)), f"reference-{rng.randint(1000, 9999)}-ABC",
+        ])
+
+    leads = ["reach me at", "Contact:", "contact:  ", "send it to my account", "signed in as user"]
+    others = ["a total of", "the year", "room", "in about", "page"]
+    values, truth = [], set()
+    for i in range(400):
+        text = prose(rng.randint(3, 30))
+        if i % 4 == 3:
+            text += " " + rng.choice(others) + " " + str(rng.randint(10000, 99999)) + " " + prose(3)
+        else:
+            text += " " + rng.choice(leads) + (" " * rng.choice([1, 60]))
+            value = unseen() if i % 12 == 1 else known()
+            if "@mail" not in value:
+                truth.add((i, len(text), len(text) + len(value)))
+            text += value + " " + prose(rng.randint(1, 400))
+        values.append(text)
+    docs = documents(values)
+    ids = {r["doc_id"]: i for i, r in enumerate(docs.orderBy("doc_id").collect())}
+    found = {
+        (ids[r["doc_id"]], int(s), int(e))
+        for r in contextual_pii.find(docs).collect()
+        for kind, s, e in (x.split(":") for x in r["spans"].split(",") if x)
+        if kind == "found"
+    }
+    assert len(found & truth) >= 0.95 * len(truth)
+    assert len(found & truth) >= 0.95 * len(found)
+    clean = contextual_pii.redact(docs).orderBy("doc_id").collect()
+    assert all("[FOUND]" in clean[i]["text"] for i, _, _ in found)
+
+
+def test_persons_in_long_texts(documents):
+    values = [
+        " ".join(f"write to u{i}@mail.example.org or 10.0.{i % 300}.7;" for i in range(10_000)),
+        "a@b.co,4111 1111 1111 1111 " * 10_000,
+        "x" * 1_000_000 + " a@b.co " + "1" * 100_000 + " " * 100_000 + "+49 30 1234567",
+    ]
+    docs = documents(values)
+    got = contextual_pii.find(docs).orderBy("doc_id").collect()
+    for text, row in zip(values, got, strict=True):
+        assert row["base"] == plain_pii(text)
+    clean = contextual_pii.redact(docs).orderBy("doc_id").collect()
+    assert clean[1]["text"] == "[EMAIL],[CARD] " * 10_000
+    assert clean[0]["text"].startswith("write to [EMAIL] or [IP]; write to [EMAIL]")
+
+
 def test_redaction(documents):
     docs = documents(["mail me.x@mail.example.org or +1 (017) 555-7713, 10.0.0.1", None, "nothing here"])
     got = contextual_pii.redact(docs).orderBy("doc_id").collect()
