@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm.storage import stored
 
 KINDS = ("email", "ip", "card", "phone", "found")
-# The quantifiers keep what they have taken: no shorter take could match either, and long runs need no stack.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+# The quantifiers keep what they have taken: no shorter take could match either, and long runs need no stack. A match
+# begins at the start of a run or where the last match ended, so that a long run is read once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"  # a run with fewer digits fails wherever it begins
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What an identifier may look like: groups of digits with single blanks between them, which letters may lead, or a run
@@ -28,7 +29,7 @@ PART = 1000
 PARTS = (
     rf"(?s).{{{PART},}}?(?:(?<=[^A-Za-z0-9._%+@\x20()/#-])|(?<=[A-Za-z]\x20)|(?<=\x20)(?=[A-Za-z]))|.+"
 )
-LAST_WORDS = r"(?<!\S)(\S++\s++)?+(\S++)\s*+$"
+LAST_WORDS = r"(?<!\S)(\S++\s++)?(\S++)\s*+$"
 SPAN = "struct<s:int,e:int,m:string>"
 PLACED = "array<struct<s:int,k:int,e:int,m:string>>"
 
