@@ -528,16 +528,18 @@ def test_unseen_identifiers_in_mixed_prose(documents):
 
 def test_persons_in_long_texts(documents):
     values = [
-        " ".join(f"write to u{i}@mail.example.org or 10.0.{i % 300}.7;" for i in range(2_000)),
-        "a@b.co,4111 1111 1111 1111 " * 2_000,
+        " ".join(f"write to u{i}@mail.example.org or 10.0.{i % 300}.7;" for i in range(1_000)),
+        "a@b.co,4111 1111 1111 1111 " * 1_000,
         "x" * 1_000_000 + " a@b.co " + "1" * 100_000 + "@" + " " * 100_000 + "+49 30 1234567",
     ]
     docs = documents(values)
     got = contextual_pii.find(docs).orderBy("doc_id").collect()
-    for text, row in zip(values, got, strict=True):
+    for text, row in zip(values[:2], got[:2], strict=True):
         assert row["base"] == plain_pii(text)
+    # the plain expressions take quadratic time here
+    assert got[2]["base"] == "email:1000001:1000007,phone:1200009:1200023"
     clean = contextual_pii.redact(docs).orderBy("doc_id").collect()
-    assert clean[1]["text"] == "[EMAIL],[CARD] " * 2_000
+    assert clean[1]["text"] == "[EMAIL],[CARD] " * 1_000
     assert clean[0]["text"].startswith("write to [EMAIL] or [IP]; write to [EMAIL]")
 
 
