@@ -128,7 +128,7 @@ def _patterns(before: Column, instance: Column, after: Column) -> Column:
     word = F.regexp_replace(F.lower(F.regexp_extract(before, LAST_WORDS, 2)), r"[\"'(<\[]++", "")
     first = F.lower(F.regexp_replace(F.regexp_extract(before, LAST_WORDS, 1), r"\s++", ""))
     follows = F.lower(F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))
-    label = F.regexp_extract(word, r"([\p{L}_-]+)[:=]$", 1)
+    label = F.regexp_extract(word, r"(?<![\p{L}_-])([\p{L}_-]++)[:=]$", 1)
     shape = F.regexp_replace(F.regexp_replace(instance, "[A-Za-z]++", "a"), "[0-9]++", "9")
     forms = (
         ((first != "") & (word != ""), ("2", first, word)),
@@ -153,9 +153,10 @@ def _scan(df: DataFrame, text: str) -> DataFrame:
     def near(i: Column, regex: str) -> Column:
         return F.coalesce(F.regexp_extract(F.get("__parts", i), regex, 0), F.lit(""))
 
-    def matched(part: Column, i: Column) -> Column:
+    def matched(placed: Column, i: Column) -> Column:
+        part = placed["__parts"]
         fields = [
-            F.get("__places", i).alias("at"), part.alias("t"),
+            placed["__places"].alias("at"), part.alias("t"),
             near(i - 1, LAST_WORDS).alias("lead"), near(i + 1, r"^\s*+\S++").alias("tail"),
         ]
         for k, (some, regex) in enumerate([*[(some, regex) for some, regex, _ in CHECKS], ("[0-9@]", CANDIDATE)]):
@@ -194,7 +195,7 @@ def _scan(df: DataFrame, text: str) -> DataFrame:
             ),
         )
 
-    df = df.select(*kept, F.transform("__parts", matched).alias("__matched"))
+    df = df.select(*kept, F.transform(F.arrays_zip("__parts", F.slice("__places", 1, F.size("__parts")).alias("__places")), matched).alias("__matched"))
     df = df.select(*kept, F.transform("__matched", placed).alias("__placed"))
     return df.select(
         *kept,

@@ -528,8 +528,8 @@ def test_unseen_identifiers_in_mixed_prose(documents):
 
 def test_persons_in_long_texts(documents):
     values = [
-        " ".join(f"write to u{i}@mail.example.org or 10.0.{i % 300}.7;" for i in range(1_000)),
-        "a@b.co,4111 1111 1111 1111 " * 1_000,
+        " ".join(f"write to u{i}@mail.example.org or 10.0.{i % 300}.7;" for i in range(200)),
+        "a@b.co,4111 1111 1111 1111 " * 200,
         "x" * 1_000_000 + " a@b.co " + "1" * 100_000 + "@" + " " * 100_000 + "+49 30 1234567",
     ]
     docs = documents(values)
@@ -539,7 +539,7 @@ def test_persons_in_long_texts(documents):
     # the plain expressions take quadratic time here
     assert got[2]["base"] == "email:1000001:1000007,phone:1200009:1200023"
     clean = contextual_pii.redact(docs).orderBy("doc_id").collect()
-    assert clean[1]["text"] == "[EMAIL],[CARD] " * 1_000
+    assert clean[1]["text"] == "[EMAIL],[CARD] " * 200
     assert clean[0]["text"].startswith("write to [EMAIL] or [IP]; write to [EMAIL]")
 
 
