@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.arrow import map_slices
-from shelfwise.llm.chunks import ChunkEncoder, Kept
+from shelfwise.llm.chunks import Kept
 
-OFTEN = 4  # times that a step is met before it is made
-STATES = 60_000  # the transducer starts anew beyond, or beyond so many steps that are only met
-MET = 250_000
+STATES = 150_000  # the transducer starts anew beyond, or beyond so many steps
+STEPS = 300_000
 PAIRS = 400_000  # of tokens whose agreement is kept
-KEPT_BYTES = 48 << 20  # of pieces and their ids, and as many of chunks with and without a space before them
+KEPT_BYTES = 64 << 20  # of pieces and their ids
 KEPT_SIZE = 64  # characters; longer ones are encoded each time
 ENTRY_BYTES = 160  # of an entry besides what its key and value hold
 DECODE_STEP = 4096  # ids
+START, NONE = -1, -2  # instead of a token: where the string begins, and where no token matters any more
 
 
 class Transducer:
@@ -30,66 +30,81 @@ class Transducer:
 
     The ids of every prefix are those of a shorter prefix and one last token, and a sequence is an encoding if and only
     if each pair of neighbours is: so the last token after a byte is the one token ending there that agrees with the
-    last token where it begins. Tokens still to come can only begin where a token's prefix is open. A state is that
-    open prefix (a node of the trie of tokens with fallbacks), the last tokens at the places from which an encoding
-    may go on, and the token before them. What all of these share is certain and is put out at once; a token waits for
-    the bytes that the longest token may still take. States and steps are made when met some times; what is new is read
-    place by place, by the same rule.
+    last token where it begins. Tokens still to come can only begin where a token's prefix is open. A state is the
+    longest open prefix (a node of the trie of tokens) and the last tokens at the places from which an encoding may go
+    on, counted back from the end. What all of these share is certain and is put out at once; a token waits for the
+    bytes that the longest token may still take. States and steps are made when first met.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
         self.size = max(ranks.values()) + 1
         self.agree: dict[int, bool] = {}  # by left * size + right
-        self.suffixes: dict[int, tuple[tuple[tuple[int, int], ...], tuple[int, ...]]] = {}
         self._build_trie()
         self._forget()
 
     def _forget(self) -> None:
-        start = (0, 0, -1, ())
-        self.numbers = {start: 0}
-        self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.ends: list[tuple[int, ...] | None] = [None]
-        self.met: dict[tuple[int, int], int] = {}
+        self.states: list[tuple[int, tuple[int, ...]]] = [(0, (START,))]
+        self.numbers = {self.states[0]: 0}
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state and byte: next state, ids put out
+        self.ends: dict[int, tuple[int, ...]] = {}
 
     def _build_trie(self) -> None:
-        self.children: list[dict[int, int]] = [{}]
-        self.depth, self.token = [0], [-1]
+        """Nodes are numbers; an edge is found by node and byte."""
+        self.edges: dict[int, int] = {}
+        self.depth, self.token = array("i", [0]), array("i", [START])
+        self.tokens: list[bytes] = [b""] * self.size
+        # of the merge that makes a token: its parts, and itself by its parts; single bytes have none
+        self.left, self.right = array("i", [NONE]) * self.size, array("i", [NONE]) * self.size
+        self.pairs: dict[int, int] = {}
+        layers: list[list[tuple[int, int, int]]] = []
         for token, rank in self.ranks.items():
-            if len(token) > 1 and self.merge(token) != [rank]:
-                continue  # no merges lead to it
+            self.tokens[rank] = token
+            if len(token) > 1:
+                parts = self.merge(token, 2)
+                if len(parts) > 2:
+                    continue  # no merges lead to it
+                self.left[rank], self.right[rank] = parts
+                self.pairs[parts[0] * self.size + parts[1]] = rank
             node = 0
-            for byte in token:
-                if byte not in self.children[node]:
-                    self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                    self.depth.append(self.depth[node] + 1)
-                    self.token.append(-1)
-                node = self.children[node][byte]
+            for at, byte in enumerate(token):
+                child = self.edges.get(node << 8 | byte)
+                if child is None:
+                    child = self.edges[node << 8 | byte] = len(self.depth)
+                    self.depth.append(at + 1)
+                    self.token.append(NONE)
+                    if at == len(layers):
+                        layers.append([])
+                    layers[at].append((node, byte, child))
+                node = child
             self.token[node] = rank
-        self.fallback = [0] * len(self.children)
-        layer = list(self.children[0].values())
-        while layer:
-            below = []
-            for node in layer:
-                for byte, child in self.children[node].items():
+        # parts come before what is made of them, unless the ranks aren't those of merges
+        self.ordered = all(max(self.left[r], self.right[r]) < r for r in self.pairs.values())
+        self.lengths = array("i", map(len, self.tokens))
+        self.fallback = array("i", [0]) * len(self.depth)
+        self.inner = bytearray(len(self.depth))  # whether longer tokens begin with the node
+        for layer in layers:
+            for node, byte, child in layer:
+                self.inner[node] = 1
+                if node:
                     self.fallback[child] = self._next(self.fallback[node], byte)
-                    below.append(child)
-            layer = below
+        self.suffixes: dict[int, tuple[int, tuple[tuple[int, int], ...], tuple[int, ...]]] = {}
 
     def _next(self, node: int, byte: int) -> int:
-        while byte not in self.children[node]:
+        edges = self.edges
+        while True:
+            child = edges.get(node << 8 | byte)
+            if child is not None:
+                return child
             if not node:
                 return 0
             node = self.fallback[node]
-        return self.children[node][byte]
 
-    def merge(self, data: bytes) -> list[int]:
-        """The definition: the pair with the lowest rank is merged, the leftmost first. Used on tokens and pairs."""
+    def merge(self, data: bytes, fewest: int = 1) -> list[int]:
+        """The definition: the pair with the lowest rank is merged, the leftmost first, while more than `fewest` parts
+        are left. Used on tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > fewest:
             ranked = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
             if not ranked:
                 break
@@ -98,125 +113,122 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def _agrees(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are when their bytes are encoded together."""
+        """Whether the two tokens stay as they are when their bytes are encoded together: going back in the order of
+        merges, no two parts that meet where the tokens do would have been merged before one of them was used up."""
         if len(self.agree) > PAIRS:
             self.agree.clear()
-        same = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        if self.ordered:
+            a, b, before = left, right, self.size
+            while True:
+                made = self.pairs.get(a * self.size + b)
+                if made is not None and made < before:
+                    same = False
+                    break
+                last_a, last_b = (a if self.left[a] >= 0 else -1), (b if self.left[b] >= 0 else -1)
+                if last_a > last_b:
+                    before, a = a, self.right[a]
+                elif last_b >= 0:
+                    before, b = b + 1, self.left[b]  # of equal merges the left one comes first
+                else:
+                    same = True
+                    break
+        else:
+            same = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
         self.agree[left * self.size + right] = same
         return same
 
-    def _suffixes(self, node: int) -> tuple[tuple[tuple[int, int], ...], tuple[int, ...]]:
-        """Of the suffixes that are nodes: those that are tokens, longest first, as (size, token), and the sizes of
-        those that longer tokens begin with."""
-        found = self.suffixes.get(node)
-        if found is None:
-            tokens, sizes, suffix = [], [0], node
-            while suffix:
-                if self.token[suffix] >= 0:
-                    tokens.append((self.depth[suffix], self.token[suffix]))
-                if self.children[suffix]:
-                    sizes.append(self.depth[suffix])
-                suffix = self.fallback[suffix]
-            found = self.suffixes[node] = tuple(tokens), tuple(sizes)
+    def _suffixes(self, node: int) -> tuple[int, tuple[tuple[int, int], ...], tuple[int, ...]]:
+        """Of the suffixes that are nodes: the longest that longer tokens begin with, those that are tokens, longest
+        first, as (size, token), and the sizes of those that longer tokens begin with."""
+        tokens, sizes, suffix, longest = [], [0], node, 0
+        while suffix:
+            if self.token[suffix] >= 0:
+                tokens.append((self.depth[suffix], self.token[suffix]))
+            if self.inner[suffix]:
+                sizes.append(self.depth[suffix])
+                longest = longest or suffix
+            suffix = self.fallback[suffix]
+        found = self.suffixes[node] = longest, tuple(tokens), tuple(sizes)
         return found
 
     def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Places are counted back from the end of what is read: (place, last token, place where it begins)."""
-        node, certain, earlier, entries = self.states[number]
+        """Places are counted back from the end of what is read; the farthest is the one that all encodings pass."""
+        node, last = self.states[number]
         node = self._next(node, byte)
-        certain += 1
-        at = {place + 1: (token, begin + 1) for place, token, begin in entries}
-        at[certain] = (earlier, -1)
-        tokens, sizes = self._suffixes(node)
+        node, tokens, sizes = self.suffixes.get(node) or self._suffixes(node)
         for size, token in tokens:
-            if size in at:
-                before = at[size][0]
-                same = before < 0 or self.agree.get(before * self.size + token)
-                if self._agrees(before, token) if same is None else same:
-                    at[0] = (token, size)
-                    break
-        # from each place where a token may begin back to the place that all of them have passed
-        passed: dict[int, int] = {}
-        places = [p for p in sizes if p in at]
-        for place in places:
-            while place >= 0:
-                passed[place] = passed.get(place, 0) + 1
-                place = at[place][1]
-        shared = min(p for p, n in passed.items() if n == len(places))
+            before = last[size - 1]
+            if before < 0:
+                break
+            same = self.agree.get(before * self.size + token)
+            if self._agrees(before, token) if same is None else same:
+                break
+        last = (token, *last)
+        end, lengths = len(last) - 1, self.lengths
+        # the places that the encodings pass, as bits: what all share, and what any needs
+        every, some = -1, 0
+        for place in sizes:
+            passed = 1 << end
+            while place < end:
+                passed |= 1 << place
+                place += lengths[last[place]]
+            every &= passed
+            some |= passed
+        shared = (every & -every).bit_length() - 1
         put, place = [], shared
-        while place != certain:
-            put.append(at[place][0])
-            place = at[place][1]
-        state = (
-            node,
-            shared,
-            at[shared][0],
-            tuple((p, *at[p]) for p in sorted(passed) if p < shared),
-        )
+        while place < end:
+            put.append(last[place])
+            place += lengths[last[place]]
+        put.reverse()
+        kept = [last[p] if some >> p & 1 else NONE for p in range(shared)]
+        kept.append(last[shared] if shared in sizes else NONE)
+        state = (node, tuple(kept))
         known = self.numbers.get(state)
         if known is None:
             known = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.steps.append({})
-            self.ends.append(None)
-        result = self.steps[number][byte] = (known, tuple(reversed(put)))
+        result = self.steps[number << 8 | byte] = (known, tuple(put))
         return result
 
     def _end(self, number: int) -> tuple[int, ...]:
         """What is open when the string ends."""
-        _, certain, _, entries = self.states[number]
-        at, out, place = {p: (token, begin) for p, token, begin in entries}, [], 0
-        while place != certain:
-            token, place = at[place]
-            out.append(token)
+        last, out, place = self.states[number][1], [], 0
+        while place < len(last) - 1:
+            out.append(last[place])
+            place += self.lengths[last[place]]
         self.ends[number] = tuple(reversed(out))
         return self.ends[number]
 
-    def _by_places(self, data: bytes) -> list[int]:
-        """Without states: the last token at each place, then back from the end."""
-        last, sizes, node, at = [-1], [0], 0, 0
-        children, suffixes, agree, size_of_ids = self.children, self.suffixes, self.agree, self.size
-        for byte in data:
-            below = children[node].get(byte)
-            node = self._next(node, byte) if below is None else below
-            at += 1
-            for size, token in (suffixes.get(node) or self._suffixes(node))[0]:
-                if size == at:
-                    break
-                before = last[at - size]
-                same = agree.get(before * size_of_ids + token)
-                if self._agrees(before, token) if same is None else same:
-                    break
-            last.append(token)
-            sizes.append(size)
-        out = []
-        while at:
-            out.append(last[at])
-            at -= sizes[at]
-        return out[::-1]
-
     def encode(self, data: bytes) -> list[int]:
+        """A string that is a token is that token, whatever merges lead to; all others are read by the transducer."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES or len(self.met) > MET:
-            self._forget()
         number, out, steps = 0, [], self.steps
         for byte in data:
-            step = steps[number].get(byte)
+            step = steps.get(number << 8 | byte)
             if step is None:
-                times = self.met.get((number, byte), 0) + 1
-                if times < OFTEN:
-                    self.met[number, byte] = times
-                    return self._by_places(data)
+                if len(self.states) > STATES or len(steps) > STEPS:
+                    number = self._restart(number)
+                    steps = self.steps
                 step = self._step(number, byte)
-            number = step[0]
-            if step[1]:
-                out += step[1]
-        end = self.ends[number]
+            number, put = step
+            if put:
+                out += put
+        end = self.ends.get(number)
         out += self._end(number) if end is None else end
         return out
 
+    def _restart(self, number: int) -> int:
+        """Starts anew amid a string; the state it is in goes on under a new number."""
+        state = self.states[number]
+        self._forget()
+        if state in self.numbers:
+            return self.numbers[state]
+        self.numbers[state] = len(self.states)
+        self.states.append(state)
+        return self.numbers[state]
+
 
 class Utf8Machine:
     """Text of bytes that come in parts; what isn't UTF-8 becomes U+FFFD, one for each longest valid beginning."""
@@ -297,12 +309,9 @@ class Encoder:
         self.transducer = Transducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.pieces = KeptBytes(lambda piece: array("I", self.transducer.encode(piece.encode())).tobytes())
-        self.chunks = ChunkEncoder(lambda text: b"".join(map(self.pieces.__getitem__, self.split(text))))
-        self.chunks.plain = KeptBytes(self.chunks.plain.make)
-        self.chunks.spaced = KeptBytes(self.chunks.spaced.make)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.chunks.encode(text), "<u4").astype(np.int32)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))), np.uint32).astype(np.int32)
 
 
 class Decoder:
