@@ -323,7 +323,8 @@ def near_duplicates(
 
     Null and blank texts have no shingles and are linked with nothing: their component is their own id. Repeated rows
     share a component. The component of texts without any id is null, and a row is kept if its id is the component's,
-    null for null. An empty table gives an empty one; other columns are ignored.
+    null for null. An empty table gives an empty one; other columns are ignored, whatever their names. Of a very long
+    text all shingles count.
     """
     rows = stored(sketches(docs, like.words, id_column, text), "sketches")
     filled = rows.where(F.col("n_shingles") > 0)

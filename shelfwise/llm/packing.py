@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from array import array
@@ -12,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.arrow import slices
@@ -154,13 +155,24 @@ def slots(packs: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int
 
 
 def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Adds each row's place among those of its length. Rows are counted in small groups by length and salt; a group
-    starts where the ones before it end, so a length that most documents share is spread over many tasks."""
+    """Adds each row's place among those of its length. Rows are counted in small groups by length and salt, and groups
+    in blocks of as many as there are blocks; a block starts where the blocks before it end and a group where the
+    groups before it in its block do. So a length that most documents share is spread over many tasks, and no task
+    sums more than about the root of the number of groups."""
     groups = max(1, -(-total // RANK_GROUP))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups)))
     counts = rows.groupBy("length", "group").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    counts = counts.withColumn("block", F.floor(F.col("group") / math.isqrt(groups)))
+
+    def before(*keys: str, order: str) -> Column:
+        rest = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(rest), F.lit(0))
+
+    blocks = counts.groupBy("length", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("length", "block", before("length", order="block").alias("ahead"))
+    firsts = counts.select("length", "block", "group", before("length", "block", order="group").alias("inside"))
+    firsts = firsts.join(blocks, ["length", "block"])
+    firsts = firsts.select("length", "group", (F.col("ahead") + F.col("inside")).alias("first"))
     inside = Window.partitionBy("length", "group").orderBy("doc_id", "start", "salt", "ids_crc32")
     rows = rows.withColumn("place", F.row_number().over(inside) - 1)
     return rows.join(firsts, ["length", "group"]).withColumn("rank", F.col("first") + F.col("place"))
@@ -173,7 +185,8 @@ def pack(
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) and its ids.
 
     Null and empty texts are one end id; repeated rows are packed each; an empty table gives an empty one; other
-    columns are ignored. Only the histogram, at most `capacity` counts, comes to the driver, and only the slots, whose
+    columns are ignored, whatever their names. A text of any length is cut into as many pieces as it needs; the worker
+    holds one such text and its ids at a time. Only the histogram, at most `capacity` counts, comes to the driver, and only the slots, whose
     number the capacity bounds, are broadcast.
     """
     spark = docs.sparkSession

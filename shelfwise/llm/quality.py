@@ -163,7 +163,7 @@ def assess(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     """Adds counts, ratios, `base_failed` and `kept`.
 
     Null and empty texts have no words, so they fail; repeated rows are judged alike; an empty table gives an empty
-    one. One pass without a shuffle and without user functions.
+    one. Texts of any length are counted whole, in place; columns under the new names are replaced. One pass without a shuffle and without user functions.
     """
     return (
         measures(df, text)

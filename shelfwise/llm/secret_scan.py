@@ -218,7 +218,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 
     A slice of rows is a block. Its index has postings for the trigrams of the rules' queries; a rule without mandatory
     trigrams reads every text. Whole texts are read in place, nothing is shuffled. A null text is empty and has no
-    spans; repeated rows get the same; an empty table gives an empty one.
+    spans; repeated rows get the same; an empty table gives an empty one. Other columns stay inside `row`,
+    whatever their names, and a very long text is a slice of its own.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     queries = [trigram_query(r.regex) for r in rules]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import random
 import re
 import zlib
@@ -17,6 +18,7 @@ from tokenizers import Tokenizer
 
 from shelfwise.llm import bpe, contextual_pii, minhash, packing, quality, secret_scan, suffix_dedup
 from shelfwise.llm.components import components
+from shelfwise.llm.storage import dropping_stored, stored, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PROSE = (
@@ -392,6 +394,38 @@ def test_packing(documents, texts):
     assert packing.pack(documents(values).limit(0), path).count() == 0
 
 
+def test_both_libraries_split_and_merge_latin_letters_alike():
+    """Every pair of characters below the bound, alone and inside a word."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, ranks = Tokenizer.from_file(path), packing._by_ranks(path)
+    characters = [chr(i) for i in range(ord(packing.LATIN))]
+    for first in characters:
+        values = [f"{first}{second}n {second}{first}" for second in characters]
+        for text, found in zip(values, tokenizer.encode_batch(values, add_special_tokens=False), strict=True):
+            assert found.ids == ranks.encode_ordinary(text), text
+
+
+def test_places_of_a_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_GROUP", 4)
+    rows = spark.range(3000).selectExpr(
+        "id AS doc_id", "0L AS start", "IF(id % 3 = 0, id % 50, 2048) AS length", "id AS salt", "0L AS ids_crc32"
+    )
+    places = defaultdict(list)
+    for row in packing.ranked(rows, 3000).collect():
+        places[row["length"]].append(row["rank"])
+    assert all(sorted(found) == list(range(len(found))) for found in places.values())
+    assert sum(map(len, places.values())) == 3000
+
+
+def test_stored_tables_are_dropped(spark, tmp_path):
+    with dropping_stored(spark):
+        step = stored(spark.range(10), "step")
+        kept = written(step, f"{tmp_path}/kept")
+        folder = step.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+        assert os.path.isdir(folder)
+    assert kept.count() == 10 and not os.path.exists(folder)
+
+
 def test_repeated_rows_are_packed_each(documents):
     rows = packing.pack(documents([PROSE] * 300, [1] * 300), public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert len(rows) == 300 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 300
