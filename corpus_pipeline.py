@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import contextual_pii, minhash, packing, quality, suffix_dedup
-from shelfwise.llm.storage import stored
+from shelfwise.llm.storage import dropping_stored, new_path, written
 
 #: About fifty short words: a passage of more than fifty words is longer in any language.
 PASSAGE_BYTES = 200
@@ -57,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of `documents`. Between stages the documents are a Parquet table in the shared folder."""
+    """The packed sequences of `documents`. Between stages the documents are a Parquet table in the shared folder; what
+    a stage stores on its way is dropped as soon as its documents are written.
+
+    Null and empty texts fail the quality rules; of repeated rows and ties the near-duplicate stage keeps the smallest
+    id; texts of any length are read whole; further columns go along until packing. An empty table gives an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with dropping_stored(spark):
+            docs = written(stage(spark, docs, sf_dir), new_path(spark, name))
