@@ -11,7 +11,8 @@ from toy import settings, toy_lines
 from shelfwise.config import Settings
 from shelfwise.operators import features
 from shelfwise.operators.cleaning import clean
-from shelfwise.session import store
+from shelfwise.plans.queries import QUERIES
+from shelfwise.session import configured_folder, dropping_stored, shared_folder, store
 from shelfwise.sources.retail_view import VIEW_SETTINGS, retail_lines
 
 EXPECTED = {
@@ -168,3 +169,47 @@ def test_trend_over_many_words_of_months(spark):
     assert found["Spending_Trend"].tolist() == pytest.approx(slope.tolist(), abs=1e-9)
     std = monthly.groupby(level=0).std().fillna(0.0)
     assert found["Monthly_Spending_Std"].tolist() == pytest.approx(std.tolist())
+
+
+@pytest.mark.parametrize("name", ["j4_drop_outlier_lines"])
+def test_lines_are_joined_and_rid_of_copies_once(spark, small, capsys, name):
+    """What reads the cleaned lines several times reads a stored table; the source tables aren't joined anew."""
+    if not configured_folder(spark):
+        spark.sparkContext.setCheckpointDir(shared_folder(spark).removeprefix("file:"))
+    capsys.readouterr()
+    with dropping_stored(spark):
+        QUERIES[name](spark, small).explain(True)
+    plan = capsys.readouterr().out
+    assert "l_orderkey" not in plan and "StockCode" in plan
+
+
+def test_a_small_side_is_sent_to_the_lines(spark, small, capsys):
+    """The size of the outliers is known before lines are shuffled for them."""
+    if not configured_folder(spark):
+        spark.sparkContext.setCheckpointDir(shared_folder(spark).removeprefix("file:"))
+    capsys.readouterr()
+    with dropping_stored(spark):
+        QUERIES["j4_drop_outlier_lines"](spark, small).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_lines_of_a_customer_lie_together_unless_they_are_many(spark):
+    """So that what a task sums up by customer is a row for each customer, on any number of tasks."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500 + 1)
+    lines = spark.range(0, 60_000, 1, 24).select(
+        hot.cast("long").alias("CustomerID"), F.sha2(F.col("id").cast("string"), 256).alias("InvoiceNo")
+    )
+    keys = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    if not configured_folder(spark):
+        spark.sparkContext.setCheckpointDir(shared_folder(spark).removeprefix("file:"))
+    with dropping_stored(spark):
+        with settings(spark, keys):
+            together = store(features.customers_together(lines))
+        placed = together.withColumn("file", F.input_file_name())
+        files = dict(placed.groupBy("CustomerID").agg(F.count_distinct("file")).collect())
+        assert together.exceptAll(lines).isEmpty() and together.count() == 60_000
+    assert files.pop(0) > 2 and len(files) == 500 and sum(files.values()) < 2 * len(files)
