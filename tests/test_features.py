@@ -171,7 +171,7 @@ def test_trend_over_many_words_of_months(spark):
     assert found["Monthly_Spending_Std"].tolist() == pytest.approx(std.tolist())
 
 
-@pytest.mark.parametrize("name", ["j4_drop_outlier_lines"])
+@pytest.mark.parametrize("name", ["j4_drop_outlier_lines", "a17_features", "a17_features_with_rate", "m9_append_cluster"])
 def test_lines_are_joined_and_rid_of_copies_once(spark, small, capsys, name):
     """What reads the cleaned lines several times reads a stored table; the source tables aren't joined anew."""
     if not configured_folder(spark):
