@@ -14,7 +14,7 @@ OTHER_SPACE = (
     "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0            "
     "    　"
 )
-CACHE = 1_000_000
+CACHE = 100_000
 
 
 class Kept(dict):

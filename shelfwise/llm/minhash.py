@@ -22,7 +22,7 @@ SKETCH_WORDS = 4  # of 64 bits
 BLOCK = 2048  # nodes on either side of a cell of an exhaustive comparison
 CELL_BYTES = 16 << 20  # and of their sets
 TURNS = 2  # of pairs with hubs
-CACHE = 500_000
+CACHE = 100_000
 
 _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

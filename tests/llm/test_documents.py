@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfwise.llm import bpe, contextual_pii, minhash, packing, quality, secret_scan, suffix_dedup
+from shelfwise.llm import bpe, chunks, contextual_pii, minhash, packing, quality, secret_scan, suffix_dedup
 from shelfwise.llm.components import components
 from shelfwise.llm.storage import dropping_stored, stored, written
 
@@ -612,3 +612,13 @@ def test_redaction(documents):
 def test_persons_without_python(documents):
     plan = contextual_pii.find(documents(PERSONS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_what_a_worker_keeps_of_words_is_small():
+    """Workers live on between stages, and what they keep counts in all of them."""
+    text = " ".join(f"w{i}" for i in range(150_000))
+    encoder = chunks.ChunkEncoder(str.encode)
+    assert encoder.encode(text) == text.encode()
+    assert len(encoder.plain) + len(encoder.spaced) <= 110_000
+    assert len(minhash.shingle_set(text, 5)) == 149_996
+    assert len(minhash._words) <= 100_000
