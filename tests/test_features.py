@@ -10,7 +10,7 @@ from toy import settings, toy_lines
 
 from shelfwise.config import Settings
 from shelfwise.operators import features
-from shelfwise.operators.cleaning import clean
+from shelfwise.operators.cleaning import clean, sound_lines
 from shelfwise.plans.queries import QUERIES
 from shelfwise.session import configured_folder, dropping_stored, shared_folder, store
 from shelfwise.sources.retail_view import VIEW_SETTINGS, retail_lines
@@ -213,3 +213,60 @@ def test_lines_of_a_customer_lie_together_unless_they_are_many(spark):
         files = dict(placed.groupBy("CustomerID").agg(F.count_distinct("file")).collect())
         assert together.exceptAll(lines).isEmpty() and together.count() == 60_000
     assert files.pop(0) > 2 and len(files) == 500 and sum(files.values()) < 2 * len(files)
+
+
+def doubled(spark):
+    """Lines of 60 customers with copies, of which one holds a third of all lines, and with nulls."""
+    random = np.random.default_rng(11)
+    n = 4000
+    pdf = pd.DataFrame(
+        {
+            "InvoiceNo": [f"C{i}" if i % 9 == 0 else f"{i}" for i in random.integers(0, 700, n)],
+            "StockCode": random.integers(10, 90, n).astype(str),
+            "Description": random.choice(["Mug", "mug", "Bowl"], n),
+            "Quantity": random.integers(-3, 9, n),
+            "InvoiceDate": pd.Timestamp("2020-01-01") + pd.to_timedelta(random.integers(0, 24 * 900, n), "h"),
+            "UnitPrice": random.integers(1, 900, n) / 4,
+            "CustomerID": np.where(np.arange(n) < n // 3, 1, random.integers(2, 60, n)),
+            "Country": random.choice(["United Kingdom", "France", "Spain"], n),
+        }
+    )
+    lines = spark.createDataFrame(pd.concat([pdf, pdf[::3], pdf[::7]]))
+    hole = F.xxhash64("InvoiceNo", "StockCode", "InvoiceDate")
+    return lines.withColumns(
+        {
+            "InvoiceNo": F.when(hole % 11 != 0, F.col("InvoiceNo")),
+            "InvoiceDate": F.when((hole % 13 != 0) & (F.col("CustomerID") != 7), F.col("InvoiceDate")),
+            "Country": F.when((hole % 5 != 0) & (F.col("CustomerID") != 9), F.col("Country")),
+            "CustomerID": F.when(hole % 17 != 0, F.col("CustomerID")).cast("long"),
+        }
+    )
+
+
+@pytest.mark.parametrize("heavy", [0.01, 0.2, 1.0])
+def test_lines_with_copies_have_the_features_of_clean_ones(spark, monkeypatch, heavy):
+    """Whether many customers, one or none are spread out."""
+    monkeypatch.setattr("shelfwise.functions.joins.HEAVY", heavy)
+    monkeypatch.setattr(features, "DEALT", 1000)
+    options, lines = Settings(with_rate=True), doubled(spark).cache()
+    expected = features.customer_features(clean(lines), options).toPandas().set_index("CustomerID").sort_index()
+    found = features.features_with_copies(sound_lines(lines), options).toPandas().set_index("CustomerID").sort_index()
+    assert found.index.is_unique and len(found) > 50 and 7 not in found.index and found["Is_UK"].isna().any()
+    pd.testing.assert_frame_equal(found, expected, check_dtype=False)
+    assert features.features_with_copies(sound_lines(lines.limit(0)), options).isEmpty()
+
+
+def test_stored_lines_are_shuffled_once(spark, small, capsys, monkeypatch):
+    """Copies, sums, invoices, products, countries and months share one shuffle of the lines."""
+    monkeypatch.setattr("shelfwise.functions.joins.HEAVY", 1.0)  # so few customers that each has a hundredth
+    monkeypatch.setattr(features, "DEALT", 1000)
+    if not configured_folder(spark):
+        spark.sparkContext.setCheckpointDir(shared_folder(spark).removeprefix("file:"))
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    capsys.readouterr()
+    with dropping_stored(spark), settings(spark, keys):
+        QUERIES["a17_features"](spark, small).explain()
+    plan = capsys.readouterr().out
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(CustomerID#" in line and "Reused" not in line]
+    assert len(dealt) == 1 and plan.count("ReusedExchange") == 4
+    assert "Expand" not in plan and "ObjectHashAggregate" not in plan and "Python" not in plan
